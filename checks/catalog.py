@@ -8,7 +8,7 @@ from orderlens.operators import histograms, quality, summaries
 from orderlens.operators.positions import number_rows
 from orderlens.operators.statistics import correlations_of, pearson_pairs
 from orderlens.plans import drivers, evaluation, exploration, master, retention, rfm
-from orderlens.scratch import scratch_path
+from orderlens.scratch import materialize, scratch_path
 from orderlens.sources import sinks
 from orderlens.sources.fixture import fixture_tables
 from orderlens.sources.tables import load_tables
@@ -40,6 +40,11 @@ def _rfm(t):
     return rfm.rfm_table(master.master_notebook(t))
 
 
+def _written_master(t):
+    """The master table written once, for jobs that read it more than once."""
+    return materialize(master.master_notebook(t), "master")
+
+
 def _with_ci(t):
     return retention.retention_with_ci(retention.retention_ranking(t))
 
@@ -73,7 +78,7 @@ def export_receipt(t):
     """Master, customer and segment tables exported, with the rows counted during the write."""
     spark = t["orders"].sparkSession
     folder = scratch_path(spark, "export")
-    table = master.master_notebook(t)
+    table = _written_master(t)
     scored = rfm.rfm_table(table)
     written = [
         sinks.export(table, "master_csv", f"{folder}/master_csv", "csv"),
@@ -135,23 +140,23 @@ def frequency_score_share(t):
 
 
 def executive_summary(t):
-    table = master.master_notebook(t)
+    table = _written_master(t)
     return evaluation.executive_summary(
         master.reviewed(table), rfm.rfm_table(table), _with_ci(t)
     )
 
 
 def satisfaction(t):
-    table = master.master_notebook(t)
+    table = _written_master(t)
     return evaluation.satisfaction_by_segment(master.reviewed(table), rfm.rfm_table(table))
 
 
 def input_overview(t):
-    table = master.master_notebook(t)
+    table = _written_master(t)
     frames = {
         "master": table,
         "master_reviewed": master.reviewed(table),
-        "rfm": _rfm(t),
+        "rfm": rfm.rfm_table(table),
         "retention": retention.retention_ranking(t),
     }
     return evaluation.overview(frames)
@@ -159,14 +164,12 @@ def input_overview(t):
 
 def payment_box(t):
     totals = exploration.payment_totals(t["order_payments"])
-    return histograms.box_stats(totals, [], "payment_value")
+    return histograms.box_stats(histograms.tally(totals, [], "payment_value"), [], "payment_value")
 
 
 def payment_outliers(t):
     totals = exploration.payment_totals(t["order_payments"])
-    return histograms.outliers(
-        totals, "payment_value", histograms.box_stats(totals, [], "payment_value")
-    )
+    return histograms.outliers(totals, "payment_value", payment_box(t))
 
 
 def payment_describe(t):
@@ -174,8 +177,12 @@ def payment_describe(t):
     return summaries.describe(totals, ["payment_value"], (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
 
 
+def _box(df, group, value):
+    return histograms.box_stats(histograms.tally(df, [group], value), [group], value)
+
+
 def box_by(value):
-    return lambda t: fixed(histograms.box_stats(_reviewed(t), ["review_score"], value))
+    return lambda t: fixed(_box(_reviewed(t), "review_score", value))
 
 
 def eda_correlations(t):
@@ -206,7 +213,7 @@ def rfm_describe(t):
 
 
 def segment_box(value):
-    return lambda t: fixed(histograms.box_stats(rfm.clipped_monetary(_rfm(t)), ["segment"], value), 6)
+    return lambda t: fixed(_box(rfm.clipped_monetary(_rfm(t)), "segment", value), 6)
 
 
 QUERIES = {

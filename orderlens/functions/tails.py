@@ -1,4 +1,7 @@
-"""Tail probabilities as column expressions, for small frames of test results."""
+"""Tail probabilities as SQL expressions over column names, for small frames of test results.
+
+They run inside Spark, so a test result stays lazy up to its p-value.
+"""
 
 import math
 
@@ -6,103 +9,81 @@ from pyspark.sql import functions as F
 
 SERIES_TERMS = 80
 FRACTION_STEPS = 300
-
-
-def _density(z):
-    return F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
+ROOT_TWO_PI = repr(math.sqrt(2 * math.pi)) + "D"
+ROOT_PI = repr(math.sqrt(math.pi)) + "D"
 
 
 def _upper(z):
     """Normal upper tail for z >= 0: a power series near zero, a continued fraction beyond."""
-    near = F.aggregate(
-        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
-        F.struct(z.alias("total"), z.alias("term")),
-        lambda s, j: F.struct(
-            (s["total"] + s["term"] * z * z / (2 * j + 1)).alias("total"),
-            (s["term"] * z * z / (2 * j + 1)).alias("term"),
-        ),
-        lambda s: F.lit(0.5) - _density(z) * s["total"],
-    )
-    far = F.aggregate(
-        F.sequence(F.lit(SERIES_TERMS), F.lit(1)),
-        z,
-        lambda s, j: z + j / s,
-        lambda s: _density(z) / s,
-    )
-    return F.when(z < 3, near).otherwise(far)
+    density = f"(exp(-({z}) * ({z}) / 2) / {ROOT_TWO_PI})"
+    series = f"""aggregate(sequence(1, {SERIES_TERMS}),
+        named_struct('total', ({z}), 'term', ({z})),
+        (s, j) -> named_struct(
+            'total', s.total + s.term * ({z}) * ({z}) / (2 * j + 1),
+            'term', s.term * ({z}) * ({z}) / (2 * j + 1)),
+        s -> 0.5D - {density} * s.total)"""
+    fraction = f"""aggregate(sequence({SERIES_TERMS}, 1), ({z}),
+        (s, j) -> ({z}) + j / s, s -> {density} / s)"""
+    return f"(case when ({z}) < 3 then {series} else {fraction} end)"
+
+
+def _normal_sf(z):
+    return f"(case when {z} >= 0 then {_upper(z)} else 1 - {_upper(f'-({z})')} end)"
 
 
 def normal_sf(z):
-    z = z.cast("double")
-    size = F.abs(z)
-    return F.when(z >= 0, _upper(size)).otherwise(1 - _upper(size))
+    """Upper tail of the standard normal distribution."""
+    return F.expr(_normal_sf(f"double({z})"))
 
 
 def chi2_sf(x, dof):
-    """Upper tail of chi-square for a whole number of degrees of freedom."""
-    x, dof = x.cast("double"), dof.cast("int")
-    odd = dof % 2 == 1
-    root = F.sqrt(x)
-    start = F.when(odd, 2 * _density(root) * root).otherwise(F.exp(-x / 2))
-    # the finite sum of the closed form; each term follows from the one before
-    total = F.aggregate(
-        F.filter(F.sequence(F.lit(1), F.greatest(dof, F.lit(1))), lambda j: 2 * j <= dof),
-        F.struct(F.lit(0.0).alias("total"), start.alias("term")),
-        lambda s, j: F.struct(
-            (s["total"] + s["term"]).alias("total"),
-            (s["term"] * x / F.when(odd, 2 * j + 1).otherwise(2 * j)).alias("term"),
-        ),
-        lambda s: s["total"],
-    )
-    return F.when(odd, 2 * normal_sf(root) + total).otherwise(total)
+    """Upper tail of chi-square for a whole number of degrees of freedom: its finite sum."""
+    x, dof = f"double({x})", f"int({dof})"
+    odd = f"({dof} % 2 = 1)"
+    start = f"""(case when {odd} then 2 * exp(-{x} / 2) / {ROOT_TWO_PI} * sqrt({x})
+        else exp(-{x} / 2) end)"""
+    total = f"""aggregate(
+        filter(sequence(1, greatest({dof}, 1)), j -> 2 * j <= {dof}),
+        named_struct('total', 0D, 'term', {start}),
+        (s, j) -> named_struct(
+            'total', s.total + s.term,
+            'term', s.term * {x} / (case when {odd} then 2 * j + 1 else 2 * j end)),
+        s -> s.total)"""
+    tail = f"2 * {_upper(f'sqrt({x})')}"
+    return F.expr(f"(case when {odd} then {tail} else 0D end) + {total}")
 
 
 def _gamma_step(a):
     """Gamma(a + 1/2) / Gamma(a): asymptotic series at a + 12, stepped back to a."""
-    b = a + 12
-    series = F.sqrt(b) * (
-        1 - 1 / (8 * b) + 1 / (128 * b * b) + 5 / (1024 * b**3) - 21 / (32768 * b**4)
-    )
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(11)), series, lambda s, j: s * (a + j) / (a + j + 0.5)
-    )
+    b = f"({a} + 12)"
+    series = f"""sqrt({b}) * (1 - 1 / (8 * {b}) + 1 / (128 * {b} * {b})
+        + 5 / (1024 * {b} * {b} * {b}) - 21 / (32768 * {b} * {b} * {b} * {b}))"""
+    return f"""aggregate(sequence(0, 11), {series},
+        (s, j) -> s * ({a} + j) / ({a} + j + 0.5D))"""
 
 
 def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function, forward recurrence."""
-    first = 1 / (1 - (a + b) * x / (a + 1))
-
-    def half(c, d, h, coef):
-        d2 = 1 / (1 + coef * d)
-        c2 = 1 + coef / c
-        return c2, d2, h * c2 * d2
-
-    def step(s, j):
-        m = j.cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        c, d, h = half(*half(s["c"], s["d"], s["h"], even), odd)
-        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(FRACTION_STEPS)),
-        F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")),
-        step,
-        lambda s: s["h"],
-    )
+    even = f"(m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m)))"
+    odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1)))"
+    d1, c1 = f"(1 / (1 + {even} * s.d))", f"(1 + {even} / s.c)"
+    d2, c2 = f"(1 / (1 + {odd} * {d1}))", f"(1 + {odd} / {c1})"
+    return f"""aggregate(transform(sequence(1, {FRACTION_STEPS}), j -> double(j)),
+        named_struct('c', 1D, 'd', 1 / (1 - ({a} + {b}) * {x} / ({a} + 1)),
+            'h', 1 / (1 - ({a} + {b}) * {x} / ({a} + 1))),
+        (s, m) -> named_struct('c', {c2}, 'd', {d2}, 'h', s.h * {c1} * {d1} * {c2} * {d2}),
+        s -> s.h)"""
 
 
 def correlation_p(rho, n):
     """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom."""
-    rho, n = rho.cast("double"), n.cast("double")
-    a = (n - 2) / 2
-    r2 = rho * rho
-    rest = 1 - r2
-    front = F.exp(a * F.log1p(-r2)) * F.abs(rho) * _gamma_step(a) / math.sqrt(math.pi)
-    half = F.lit(0.5)
-    return (
-        F.when(rho.isNull() | (n < 3), F.lit(None).cast("double"))
-        .when(r2 >= 1, F.lit(0.0))
-        .when(rest < (a + 1) / (a + 2.5), front * _beta_fraction(a, half, rest) / a)
-        .otherwise(1 - front * _beta_fraction(half, a, r2) / half)
+    rho, a = f"double({rho})", f"((double({n}) - 2) / 2)"
+    square, rest = f"({rho} * {rho})", f"(1 - {rho} * {rho})"
+    front = f"(exp({a} * log1p(-{square})) * abs({rho}) * {_gamma_step(a)} / {ROOT_PI})"
+    return F.expr(
+        f"""case when {rho} is null or {n} < 3 then double(null)
+            when {square} >= 1 then 0D
+            when {rest} < ({a} + 1) / ({a} + 2.5D)
+                then {front} * {_beta_fraction(a, "0.5D", rest)} / {a}
+            else 1 - {front} * {_beta_fraction("0.5D", a, square)} * 2 end"""
     )

@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 
 # GRID slices per unit of ln(1 + |value| / FINE): fewer than 400,000 exist for all doubles
 GRID = 256
-FINE = 1e-4
+FINE = "1e-4D"
 
 
 def _slice(value):
-    v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) / FINE) * GRID)).cast("int")
+    """Slice number; never null, so that joins on it add no filter below shared exchanges."""
+    steps = f"signum(double(`{value}`)) * floor(log1p(abs(double(`{value}`)) / {FINE}) * {GRID})"
+    return F.expr(f"coalesce(int({steps}), 0)")
 
 
-def tally(df, groups, value, **sums):
-    """Count rows per (groups, value); null groups and null values are left out."""
+def tally(df, groups, value):
+    """Count rows per (groups, value); null groups and null values are left out.
+
+    The statistics below take such counts, so that several of them share one shuffle.
+    """
     kept = df.dropna(subset=[*groups, value])
-    counts = sums or {"n": F.count(F.lit(1))}
-    return kept.groupBy(*groups, value).agg(*[c.alias(k) for k, c in counts.items()])
+    return kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cumulate(counts, groups, value, n="n", wanted=None):
@@ -34,7 +37,7 @@ def cumulate(counts, groups, value, n="n", wanted=None):
     hold none of them are dropped before the values are sorted.
     """
     groups = list(groups)
-    sliced = counts.withColumn("_slice", _slice(F.col(value)))
+    sliced = counts.withColumn("_slice", _slice(value))
     steps = sliced.groupBy(*groups, "_slice").agg(F.sum(n).alias("_rows"))
     grid = Window.partitionBy(*groups)
     steps = steps.select(
@@ -62,9 +65,8 @@ def _ranks(prob, total):
     return low, F.ceil(at), at - low
 
 
-def quantiles(df, groups, value, probs, counts=None):
-    """Linearly interpolated quantiles per group: columns q0, q1, ... in the order of probs."""
-    counts = tally(df, groups, value) if counts is None else counts
+def quantiles(counts, groups, value, probs):
+    """Linearly interpolated quantiles per group from a ``tally``: columns q0, q1, ... as in probs."""
 
     def wanted(first, last, total):
         hits = F.lit(False)
@@ -90,9 +92,9 @@ def quantiles(df, groups, value, probs, counts=None):
     return found.select(*groups, *outs)
 
 
-def quantile_scalar(df, value, prob):
-    """One quantile of a whole column, as a scalar subquery."""
-    return quantiles(df, [], value, [prob]).select("q0").scalar()
+def quantile_scalar(counts, value, prob):
+    """One quantile of a whole tallied column, as a scalar subquery."""
+    return quantiles(counts, [], value, [prob]).select("q0").scalar()
 
 
 def average_ranks(counts, groups, value, n="n"):
@@ -101,10 +103,9 @@ def average_ranks(counts, groups, value, n="n"):
     return running.withColumn("avg_rank", F.col("before") + (F.col(n) + 1) / 2.0)
 
 
-def box_stats(df, groups, value):
-    """Quartiles, 1.5 IQR whiskers and the number of points beyond them, per group."""
-    counts = tally(df, groups, value)
-    quarts = quantiles(df, groups, value, [0.25, 0.5, 0.75], counts)
+def box_stats(counts, groups, value):
+    """Quartiles, 1.5 IQR whiskers and the number of points beyond them, per group of a tally."""
+    quarts = quantiles(counts, groups, value, [0.25, 0.5, 0.75])
     quarts = quarts.select(
         *groups, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
@@ -137,9 +138,8 @@ def outliers(df, value, box):
     return df.filter((F.col(value) < low) | (F.col(value) > high))
 
 
-def equal_width_bins(df, value, bins=60):
-    """Histogram over [min, max]; the last bin is closed; empty bins are kept."""
-    counts = tally(df, [], value)
+def equal_width_bins(counts, value, bins=60):
+    """Histogram of a tally over [min, max]; the last bin is closed; empty bins are kept."""
     v = F.col(value).cast("double")
     low, high = F.col("lo"), F.col("hi")
     flat = low == high
@@ -158,7 +158,7 @@ def equal_width_bins(df, value, bins=60):
         F.least(F.lit(bins - 1), F.floor((v - start) * bins / width).cast("int")).alias("bin"), "n"
     )
     filled = placed.groupBy("bin").agg(F.sum("n").alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    every = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(filled, "bin", "left")
         .withColumn("_s", limits)

@@ -7,10 +7,15 @@ from pyspark.sql import types as T
 
 
 def _key(column):
-    """Text that is equal exactly when the values are equal."""
-    if isinstance(column.dataType, T.FractionalType):
-        return (F.col(column.name) + 0).cast("string")  # -0.0 counts as 0.0
-    return F.col(column.name).cast("string")
+    """Text that is equal exactly when the values are equal; -0.0 counts as 0.0."""
+    plus = " + 0" if isinstance(column.dataType, T.FractionalType) else ""
+    return f"string(`{column.name}`{plus})"
+
+
+def _one_pass(df, label, value, cells):
+    """One aggregate row turned into a frame (label, value): cells are (label, expression)."""
+    rows = ", ".join(f"struct('{name}' as {label}, {expr} as {value})" for name, expr in cells)
+    return df.agg(F.expr(f"array({rows})").alias("cells")).selectExpr("inline(cells)")
 
 
 def column_profile(df, approximate=False):
@@ -20,24 +25,19 @@ def column_profile(df, approximate=False):
     approximate form needs one pass and no shuffle of values.
     """
     if approximate:
-        cells = [
-            F.struct(
-                F.lit(i).alias("position"),
-                F.count(F.lit(1)).alias("rows"),
-                F.count_if(F.col(c).isNull()).alias("nulls"),
-                F.approx_count_distinct(c).alias("distinct_values"),
-            )
+        cells = ", ".join(
+            f"struct({i} as position, count(1) as rows, count_if(`{c}` is null) as nulls, "
+            f"approx_count_distinct(`{c}`) as distinct_values)"
             for i, c in enumerate(df.columns)
-        ]
-        sums = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        )
+        sums = df.agg(F.expr(f"array({cells})").alias("cells")).selectExpr("inline(cells)")
     else:
-        cells = [
-            F.struct(F.lit(i).alias("position"), _key(c).alias("value"))
-            for i, c in enumerate(df.schema)
-        ]
+        cells = ", ".join(
+            f"struct({i} as position, {_key(c)} as value)" for i, c in enumerate(df.schema)
+        )
         values = (
-            df.select(F.explode(F.array(*cells)).alias("c"))
-            .groupBy("c.position", "c.value")
+            df.selectExpr(f"inline(array({cells}))")
+            .groupBy("position", "value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
         missing = F.col("value").isNull()
@@ -46,8 +46,8 @@ def column_profile(df, approximate=False):
             F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"),
             F.count("value").alias("distinct_values"),
         )
-    names = F.array(*[F.lit(c.name) for c in df.schema])
-    types = F.array(*[F.lit(c.dataType.simpleString()) for c in df.schema])
+    names = F.lit([c.name for c in df.schema])
+    types = F.lit([c.dataType.simpleString() for c in df.schema])
     percent = F.rint(F.col("nulls") / F.col("rows") * 100 * 100.0) / 100.0
     return sums.select(
         "position",
@@ -61,12 +61,8 @@ def column_profile(df, approximate=False):
 
 def residual_nulls(df):
     """Columns that hold nulls, with their count, in one pass."""
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"))
-        for c in df.columns
-    ]
-    counts = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    return counts.filter("nulls > 0")
+    cells = [(c, f"count_if(`{c}` is null)") for c in df.columns]
+    return _one_pass(df, "column", "nulls", cells).filter("nulls > 0")
 
 
 def duplicate_rows(df):
@@ -91,12 +87,9 @@ def shape(df):
 
 
 def violations(df, checks):
-    """Count the rows that break each named condition: (check, violations)."""
-    cells = [
-        F.struct(F.lit(name).alias("check"), F.count_if(bad).alias("violations"))
-        for name, bad in checks.items()
-    ]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """Count the rows that break each named SQL condition: (check, violations)."""
+    cells = [(name, f"count_if({bad})") for name, bad in checks.items()]
+    return _one_pass(df, "check", "violations", cells)
 
 
 def repeated_keys(df, key, name):
@@ -107,14 +100,15 @@ def repeated_keys(df, key, name):
     )
 
 
-def funnel(*steps):
-    """Rows kept after each step and their share of the first: inputs are (name, one-row count)."""
-    stacked = reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            frame.select(F.lit(i).alias("step"), F.lit(name).alias("label"), "rows")
-            for i, (name, frame) in enumerate(steps)
-        ],
-    )
-    first = steps[0][1].select("rows").scalar()
-    return stacked.withColumn("pct_of_first", F.try_divide(F.col("rows") * 100.0, first))
+def funnel(df, steps):
+    """Rows that pass each step and all steps before it, and their share of the first.
+
+    ``steps`` are (label, SQL condition) in order; a condition that is null does not pass.
+    """
+    cells, passed = [], []
+    for i, (label, condition) in enumerate(steps):
+        passed.append(f"({condition})")
+        cells.append(f"struct({i} as step, '{label}' as label, count_if({' and '.join(passed)}) as rows)")
+    counts = df.agg(F.expr(f"array({', '.join(cells)})").alias("cells"))
+    share = "try_divide(line.rows * 100D, cells[0].rows) as pct_of_first"
+    return counts.selectExpr("cells", "explode(cells) as line").selectExpr("line.*", share)

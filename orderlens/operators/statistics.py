@@ -12,18 +12,12 @@ def pearson_pairs(df, columns):
 
     Long form (a, b, n, r); r is null when a column of the pair is constant.
     """
-    cells = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            F.col(a).cast("double").alias("x"),
-            F.col(b).cast("double").alias("y"),
-        )
+    cells = ", ".join(
+        f"struct('{a}' as a, '{b}' as b, double(`{a}`) as x, double(`{b}`) as y)"
         for i, a in enumerate(columns)
         for b in columns[i + 1 :]
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    long = long.filter("x is not null and y is not null")
+    )
+    long = df.selectExpr(f"inline(array({cells}))").filter("x is not null and y is not null")
     sums = long.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_pop("x", "y").alias("_xy"),
@@ -45,11 +39,10 @@ def correlations_of(pairs, column):
 def spearman(df, features, target):
     """Spearman rho of each feature against one target, ranked inside the pairs
     where both are present, with the two-sided p-value: (feature, n, rho, p_value)."""
-    cells = [
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.col(target).alias("y"))
-        for f in features
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    cells = ", ".join(
+        f"struct('{f}' as feature, double(`{f}`) as x, `{target}` as y)" for f in features
+    )
+    long = df.selectExpr(f"inline(array({cells}))")
     joint = (
         long.filter("x is not null and y is not null")
         .groupBy("feature", "x", "y")
@@ -72,7 +65,7 @@ def spearman(df, features, target):
     )
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
     return sums.select("feature", "n", rho.alias("rho")).withColumn(
-        "p_value", correlation_p(F.col("rho"), F.col("n"))
+        "p_value", correlation_p("rho", "n")
     )
 
 
@@ -110,7 +103,7 @@ def mann_whitney_greater(df, value, first, second):
     return (
         sums.withColumn("u", F.col("_r1") - n1 * (n1 + 1) / 2.0)
         .withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, spread))
-        .withColumn("p_value", normal_sf(F.col("z")))
+        .withColumn("p_value", normal_sf("z"))
         .withColumn("rank_biserial", 1 - F.try_divide(2 * F.col("u"), n1 * n2))
         .drop("_r1", "_ties")
     )
@@ -138,7 +131,7 @@ def kruskal_wallis(df, value, group):
     raw = 12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     return (
         sums.withColumn("h", F.try_divide(raw, 1 - F.try_divide(F.col("_ties"), n * n * n - n)))
-        .withColumn("p_value", chi2_sf(F.col("h"), F.col("groups") - 1))
+        .withColumn("p_value", chi2_sf("h", "groups - 1"))
         .drop("_s", "_ties")
     )
 

@@ -22,10 +22,8 @@ def frequency(df, column, keep_null=False):
 
 def describe(df, columns, probs=(0.25, 0.5, 0.75)):
     """Count, mean, sample deviation, min, exact quantiles and max of numeric columns."""
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("v is not null")
+    cells = ", ".join(f"struct('{c}' as column, double(`{c}`) as v)" for c in columns)
+    long = df.selectExpr(f"inline(array({cells}))").filter("v is not null")
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     v, n = F.col("v"), F.col("n")
     moments = counts.groupBy("column").agg(
@@ -35,13 +33,15 @@ def describe(df, columns, probs=(0.25, 0.5, 0.75)):
         F.max("v").alias("max"),
     )
     # second pass around the mean keeps the deviation exact for large values
-    around = counts.join(moments.select("column", F.col("mean").alias("m")), "column")
+    # (one row per requested column on the broadcast side)
+    means = F.broadcast(moments.select("column", F.col("mean").alias("m")))
+    around = counts.join(means, "column")
     deviation = around.groupBy("column").agg(
         F.sqrt(
             F.try_divide(F.sum(n * (v - F.col("m")) * (v - F.col("m"))), F.sum("n") - 1)
         ).alias("std")
     )
-    cuts = quantiles(long, ["column"], "v", probs, counts)
+    cuts = quantiles(counts, ["column"], "v", probs)
     cuts = cuts.select(
         "column", *[F.col(f"q{i}").alias(f"p{p * 100:g}") for i, p in enumerate(probs)]
     )

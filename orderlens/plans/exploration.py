@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orderlens.functions.scalars import days_floor, half_even, seconds_between, sum_money, year_month
-from orderlens.operators.histograms import equal_width_bins, quantile_scalar, quantiles
+from orderlens.operators.histograms import equal_width_bins, quantile_scalar, tally
 from orderlens.operators.summaries import frequency, top
 
 ANALYSIS_COLUMNS = [
@@ -54,13 +54,14 @@ def score_distribution(reviews):
 
 def score_summary(reviews):
     """Mean, median and the percentage of negative scores, summed from rounded percentages."""
-    median = quantiles(reviews, [], "review_score", [0.5]).select("q0").scalar()
+    counts = tally(reviews, [], "review_score")
+    n, score = F.col("n"), F.col("review_score")
+    mean = half_even(F.try_divide(F.sum(score * n), F.sum(n)), 2)
     shares = score_distribution(reviews).filter("review_score <= 2")
     negative = half_even(F.coalesce(F.sum("pct"), F.lit(0.0)), 1)
-    mean = half_even(F.avg("review_score"), 2)
-    return reviews.agg(mean.alias("mean_score")).select(
+    return counts.agg(mean.alias("mean_score")).select(
         "mean_score",
-        median.alias("median_score"),
+        quantile_scalar(counts, "review_score", 0.5).alias("median_score"),
         shares.agg(negative).scalar().alias("pct_negative"),
     )
 
@@ -91,9 +92,9 @@ def payment_totals(payments):
 
 def payment_histogram(payments, bins=60):
     """Histogram of the order payments up to their 99th percentile."""
-    totals = payment_totals(payments)
-    p99 = quantile_scalar(totals, "payment_value", 0.99)
-    return equal_width_bins(totals.filter(F.col("payment_value") <= p99), "payment_value", bins)
+    counts = tally(payment_totals(payments), [], "payment_value")
+    p99 = quantile_scalar(counts, "payment_value", 0.99)
+    return equal_width_bins(counts.filter(F.col("payment_value") <= p99), "payment_value", bins)
 
 
 def top_categories(tables, k=10):
@@ -139,9 +140,9 @@ def monthly_orders(orders):
         .agg(F.count("order_id").alias("n_orders"))
         .filter(F.col("order_month").isNotNull())
     )
-    first = counts.agg(F.min("order_month")).scalar()
-    last = counts.agg(F.max("order_month")).scalar()
-    return counts.filter((F.col("order_month") > first) & (F.col("order_month") < last))
+    ends = counts.agg(F.struct(F.min("order_month").alias("a"), F.max("order_month").alias("z")))
+    inner = counts.withColumn("_ends", ends.scalar())
+    return inner.filter("order_month > _ends.a and order_month < _ends.z").drop("_ends")
 
 
 def peak_months(monthly):

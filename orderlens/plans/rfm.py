@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from orderlens.functions.scalars import clip, days_floor, half_even, sum_money, to_cents
-from orderlens.operators.histograms import quantile_scalar, quantiles
+from orderlens.operators.histograms import quantile_scalar, quantiles, tally
 from orderlens.operators.positions import quintile_score
 from orderlens.operators.summaries import label_order, lookup_frame, sample_per_group
+from orderlens.scratch import materialize
 
 # fixed values: segment names in reporting order, and the action texts per segment
 SEGMENTS = ["Champions", "Loyal", "New Customers", "At Risk", "Lost", "Others"]
@@ -19,24 +20,24 @@ ACTIONS = {
 }
 
 
-def snapshot_date(master):
-    """One day after the last purchase, time of day kept, as a scalar subquery."""
-    day = F.make_dt_interval(F.lit(1))
-    return master.agg((F.max("order_purchase_timestamp") + day).alias("snapshot")).scalar()
-
-
 def rfm_metrics(master):
     """Recency in days, number of orders and spend per customer.
 
     The master table has one row per order, so a row count is the distinct order count.
+    The customer rows are written once: the snapshot date and both score sorts read them,
+    and the master table is computed a single time.
     """
     per_customer = master.groupBy("customer_unique_id").agg(
         F.max("order_purchase_timestamp").alias("last_purchase"),
         F.count("order_id").alias("frequency"),
         sum_money(F.col("price_total")).alias("monetary"),
     )
-    recency = days_floor(F.col("last_purchase"), snapshot_date(master))
-    return per_customer.withColumn("recency", recency).drop("last_purchase")
+    stored = materialize(per_customer, "customers")
+    # one day after the last purchase of all, time of day kept
+    day = F.make_dt_interval(F.lit(1))
+    snapshot = stored.agg(F.max("last_purchase") + day).scalar()
+    recency = days_floor(F.col("last_purchase"), snapshot)
+    return stored.withColumn("recency", recency).drop("last_purchase")
 
 
 def frequency_score(frequency):
@@ -105,8 +106,9 @@ def segment_profile(rfm):
     totals = sums.agg(
         F.struct(F.sum("n_customers").alias("n"), F.sum("_cents").alias("cents"))
     ).scalar()
-    med_r = quantiles(rfm, ["segment"], "recency", [0.5])
-    med_m = quantiles(rfm, ["segment"], "monetary", [0.5])
+    med_r, med_m = [
+        quantiles(tally(rfm, ["segment"], c), ["segment"], c, [0.5]) for c in ("recency", "monetary")
+    ]
     cents = F.col("_cents")
     return (
         sums.withColumn("_t", totals)
@@ -174,7 +176,7 @@ def monetary_by_frequency_score(rfm):
 
 def stratified_sample(rfm, n=600, by=None):
     """Up to n customers per segment with spend clipped at the 95th percentile of all."""
-    p95 = quantile_scalar(rfm, "monetary", 0.95)
+    p95 = quantile_scalar(tally(rfm, [], "monetary"), "monetary", 0.95)
     rows = sample_per_group(rfm, n, "segment", "customer_unique_id", by)
     return rows.withColumn("monetary_clipped", clip(F.col("monetary"), high=p95))
 
@@ -182,7 +184,7 @@ def stratified_sample(rfm, n=600, by=None):
 def clipped_monetary(rfm):
     """Customers outside 'Others' with spend clipped at their own 95th percentile."""
     named = rfm.filter(F.col("segment") != "Others")
-    p95 = quantile_scalar(named, "monetary", 0.95)
+    p95 = quantile_scalar(tally(named, [], "monetary"), "monetary", 0.95)
     return named.withColumn("monetary_clipped", clip(F.col("monetary"), high=p95))
 
 

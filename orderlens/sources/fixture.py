@@ -4,154 +4,157 @@ FIXTURES.md states the rules. They use whole-number arithmetic only, so any engi
 builds the same rows, and no step needs a window or a sort.
 """
 
-from pyspark.sql import functions as F
+from collections.abc import Mapping
+
+# columns of the generated tables that the rules read
+SCANS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+}
+
+PURCHASE = "o_orderdate + make_dt_interval(0, int(o_orderkey % 24), int(o_orderkey % 60))"
+TRANSIT = "o_orderkey * 37 % 960"
+ARRIVAL = (
+    "case when o_orderstatus = 'F' and o_orderkey % 211 <> 0 "
+    f"then {PURCHASE} + make_dt_interval(0, int({TRANSIT})) end"
+)
+ESTIMATE = "o_orderdate + make_dt_interval(int(15 + o_orderkey % 11))"
+CREATED = f"cast(date(least({ARRIVAL}, {ESTIMATE})) as timestamp_ntz) + make_dt_interval(1)"
+CENTS = "bigint(rint(l_extendedprice * 100))"
+
+
+class FixtureTables(Mapping):
+    """Tables by name; a table is planned when it is first asked for."""
+
+    NAMES = (
+        "orders",
+        "order_items",
+        "order_payments",
+        "order_reviews",
+        "customers",
+        "products",
+        "sellers",
+        "geolocation",
+        "category_translation",
+    )
 
-from orderlens.functions.scalars import to_cents
+    def __init__(self, spark, folder):
+        self._spark, self._folder, self._built = spark, folder, {}
+
+    def __getitem__(self, name):
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = getattr(self, f"_{name}")()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self):
+        return len(self.NAMES)
+
+    def _scan(self, name):
+        return self._spark.read.schema(SCANS[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    def _orders(self):
+        return self._scan("orders").selectExpr(
+            "o_orderkey as order_id",
+            "o_custkey as customer_id",
+            "case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped' "
+            "else 'canceled' end as order_status",
+            f"{PURCHASE} as order_purchase_timestamp",
+            f"case when o_orderkey % 97 <> 0 then {PURCHASE} + make_dt_interval(0, 1) end "
+            "as order_approved_at",
+            f"case when o_orderstatus = 'F' then {PURCHASE} + "
+            f"make_dt_interval(0, int(({TRANSIT}) div 2)) end as order_delivered_carrier_date",
+            f"{ARRIVAL} as order_delivered_customer_date",
+            f"{ESTIMATE} as order_estimated_delivery_date",
+        )
 
+    def _order_items(self):
+        return self._scan("lineitem").selectExpr(
+            "l_orderkey as order_id",
+            "l_linenumber as order_item_id",
+            "l_partkey as product_id",
+            "l_suppkey as seller_id",
+            "l_shipdate as shipping_limit_date",
+            "l_extendedprice as price",
+            f"({CENTS} * bigint(rint(l_tax * 100)) + 50) div 100 / 100D as freight_value",
+        )
 
-def _shift(ts, hours=None, minutes=None, days=None):
-    zero = F.lit(0)
-    parts = [p.cast("int") if p is not None else zero for p in (days, hours, minutes)]
-    return ts + F.make_dt_interval(*parts)
+    def _order_payments(self):
+        return self._scan("lineitem").selectExpr(
+            "l_orderkey as order_id",
+            "l_linenumber as payment_sequential",
+            "l_returnflag as payment_type",
+            "1 + l_linenumber as payment_installments",
+            f"({CENTS} * (100 - bigint(rint(l_discount * 100))) + 50) div 100 / 100D "
+            "as payment_value",
+        )
 
+    def _order_reviews(self):
+        lines = self._scan("lineitem").filter("l_returnflag <> 'N' and l_linenumber <= 3")
+        orders = self._scan("orders").drop("o_custkey")
+        both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        return both.selectExpr(
+            "concat_ws('-', 'R', l_orderkey, l_linenumber, l_partkey, l_suppkey, int(l_quantity)) "
+            "as review_id",
+            "l_orderkey as order_id",
+            "int(case when l_quantity > 40 then 1 + int(l_quantity) % 5 "
+            f"else 5 - least(4, ({TRANSIT}) div 216) end) as review_score",
+            "case when l_partkey % 8 = 0 then 'title' end as review_comment_title",
+            "case when l_partkey % 3 <> 0 then 'msg' end as review_comment_message",
+            f"{CREATED} as review_creation_date",
+            f"{CREATED} + make_dt_interval(0, int(l_partkey % 72)) as review_answer_timestamp",
+        )
 
-def _midnight(ts):
-    return ts.cast("date").cast("timestamp_ntz")
+    def _with_nation(self, name, key):
+        table, nation = self._scan(name), self._scan("nation")
+        return table.join(nation, table[key] == nation.n_nationkey)
+
+    def _customers(self):
+        return self._with_nation("customer", "c_nationkey").selectExpr(
+            "c_custkey as customer_id",
+            "case when c_custkey % 10 = 1 then c_custkey - 1 else c_custkey end "
+            "as customer_unique_id",
+            "c_name as customer_city",
+            "n_name as customer_state",
+        )
 
+    def _geolocation(self):
+        return self._with_nation("customer", "c_nationkey").selectExpr(
+            "c_nationkey as zip_prefix",
+            "c_nationkey * 1D as lat",
+            "c_nationkey * -1D as lng",
+            "n_name as state",
+        )
 
-def _order_times(key, day, status):
-    """Time columns of an order from its key, day and status."""
-    delivered = status == "F"
-    transit = F.pmod(key * 37, F.lit(960))
-    purchase = _shift(day, hours=F.pmod(key, F.lit(24)), minutes=F.pmod(key, F.lit(60)))
-    arrival = F.when(delivered & (F.pmod(key, F.lit(211)) != 0), _shift(purchase, hours=transit))
-    return {
-        "purchase": purchase,
-        "approved": F.when(F.pmod(key, F.lit(97)) != 0, _shift(purchase, hours=F.lit(1))),
-        "carrier": F.when(delivered, _shift(purchase, hours=F.floor(transit / 2))),
-        "arrival": arrival,
-        "estimate": _shift(day, days=15 + F.pmod(key, F.lit(11))),
-    }
+    def _sellers(self):
+        return self._with_nation("supplier", "s_nationkey").selectExpr(
+            "s_suppkey as seller_id", "n_name as seller_state"
+        )
 
+    def _products(self):
+        return self._scan("part").selectExpr(
+            "p_partkey as product_id",
+            "case when p_partkey % 53 <> 0 then p_brand end as product_category_name",
+            "double(p_size * 100) as product_weight_g",
+        )
 
-def _percent_of(cents, percent):
-    """Whole cents, exact halves up."""
-    return F.expr(f"({cents} * ({percent}) + 50) div 100")
+    def _category_translation(self):
+        brands = self._scan("part").select("p_brand").distinct()
+        return brands.filter("p_brand not in ('Brand#7', 'Brand#13')").selectExpr(
+            "p_brand as product_category_name",
+            "lower(replace(p_brand, '#', '_')) as product_category_name_english",
+        )
 
 
 def fixture_tables(spark, folder):
-    def scan(name):
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
-    col = F.col
-    when = _order_times(col("o_orderkey"), col("o_orderdate"), col("o_orderstatus"))
-    orders = scan("orders").select(
-        col("o_orderkey").alias("order_id"),
-        col("o_custkey").alias("customer_id"),
-        F.when(col("o_orderstatus") == "F", "delivered")
-        .when(col("o_orderstatus") == "O", "shipped")
-        .otherwise("canceled")
-        .alias("order_status"),
-        when["purchase"].alias("order_purchase_timestamp"),
-        when["approved"].alias("order_approved_at"),
-        when["carrier"].alias("order_delivered_carrier_date"),
-        when["arrival"].alias("order_delivered_customer_date"),
-        when["estimate"].alias("order_estimated_delivery_date"),
-    )
-
-    lines = scan("lineitem")
-    priced = lines.withColumn("_cents", to_cents(col("l_extendedprice")))
-    items = priced.withColumn("_pct", F.rint(col("l_tax") * 100).cast("bigint")).select(
-        col("l_orderkey").alias("order_id"),
-        col("l_linenumber").alias("order_item_id"),
-        col("l_partkey").alias("product_id"),
-        col("l_suppkey").alias("seller_id"),
-        col("l_shipdate").alias("shipping_limit_date"),
-        col("l_extendedprice").alias("price"),
-        (_percent_of("_cents", "_pct") / 100.0).cast("double").alias("freight_value"),
-    )
-    payments = priced.withColumn("_pct", F.rint(col("l_discount") * 100).cast("bigint")).select(
-        col("l_orderkey").alias("order_id"),
-        col("l_linenumber").alias("payment_sequential"),
-        col("l_returnflag").alias("payment_type"),
-        (1 + col("l_linenumber")).cast("int").alias("payment_installments"),
-        (_percent_of("_cents", "100 - _pct") / 100.0).cast("double").alias("payment_value"),
-    )
-
-    reviewed = lines.filter((col("l_returnflag") != "N") & (col("l_linenumber") <= 3))
-    ordered = scan("orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    both = reviewed.join(ordered, col("l_orderkey") == col("o_orderkey"))
-    created = _shift(
-        _midnight(F.least(when["arrival"], when["estimate"])), days=F.lit(1)
-    )
-    transit = F.pmod(col("o_orderkey") * 37, F.lit(960))
-    by_quantity = 1 + F.pmod(col("l_quantity").cast("int"), F.lit(5))
-    by_transit = 5 - F.least(F.lit(4), F.floor(transit / 216).cast("int"))
-    reviews = both.select(
-        F.concat_ws(
-            "-",
-            F.lit("R"),
-            *[col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-            col("l_quantity").cast("int").cast("string"),
-        ).alias("review_id"),
-        col("l_orderkey").alias("order_id"),
-        F.when(col("l_quantity") > 40, by_quantity)
-        .otherwise(by_transit)
-        .cast("int")
-        .alias("review_score"),
-        F.when(F.pmod(col("l_partkey"), F.lit(8)) == 0, "title").alias("review_comment_title"),
-        F.when(F.pmod(col("l_partkey"), F.lit(3)) != 0, "msg").alias("review_comment_message"),
-        created.alias("review_creation_date"),
-        _shift(created, hours=F.pmod(col("l_partkey"), F.lit(72))).alias("review_answer_timestamp"),
-    )
-
-    nation = scan("nation")
-    customer = scan("customer").join(nation, col("c_nationkey") == col("n_nationkey"))
-    key = col("c_custkey")
-    customers = customer.select(
-        key.alias("customer_id"),
-        F.when(F.pmod(key, F.lit(10)) == 1, key - 1).otherwise(key).alias("customer_unique_id"),
-        col("c_name").alias("customer_city"),
-        col("n_name").alias("customer_state"),
-    )
-    geolocation = customer.select(
-        col("c_nationkey").alias("zip_prefix"),
-        (col("c_nationkey") * 1.0).cast("double").alias("lat"),
-        (col("c_nationkey") * -1.0).cast("double").alias("lng"),
-        col("n_name").alias("state"),
-    )
-    part = scan("part")
-    products = part.select(
-        col("p_partkey").alias("product_id"),
-        F.when(F.pmod(col("p_partkey"), F.lit(53)) != 0, col("p_brand")).alias(
-            "product_category_name"
-        ),
-        (col("p_size") * 100).cast("double").alias("product_weight_g"),
-    )
-    translation = (
-        part.select("p_brand")
-        .distinct()
-        .filter(~col("p_brand").isin("Brand#7", "Brand#13"))
-        .select(
-            col("p_brand").alias("product_category_name"),
-            F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias(
-                "product_category_name_english"
-            ),
-        )
-    )
-    sellers = (
-        scan("supplier")
-        .join(nation, col("s_nationkey") == col("n_nationkey"))
-        .select(col("s_suppkey").alias("seller_id"), col("n_name").alias("seller_state"))
-    )
-    return {
-        "orders": orders,
-        "order_items": items,
-        "order_payments": payments,
-        "order_reviews": reviews,
-        "customers": customers,
-        "products": products,
-        "sellers": sellers,
-        "geolocation": geolocation,
-        "category_translation": translation,
-    }
+    return FixtureTables(spark, folder)
