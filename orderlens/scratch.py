@@ -2,23 +2,31 @@
 
 A step whose rows are read more than once and must not change between reads
 (positions after a range sort) is written as Parquet to the shared folder of
-``spark.checkpoint.dir``. The files survive the loss of executors.
+``spark.checkpoint.dir``. The files survive the loss of executors. They stay until
+``clear_scratch`` is called, since lazy results still read them.
 """
 
 import tempfile
 import uuid
 
 DIR_KEY = "spark.checkpoint.dir"
+_local = {}
 
 
-def scratch_path(spark, label):
-    """Fresh path below the shared folder; a local folder only for a local master."""
+def _session_folder(spark):
+    """Folder of this application; a machine-local one only for a local master."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get(DIR_KEY, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{DIR_KEY} must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="orderlens-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = _local.setdefault(app, tempfile.mkdtemp(prefix="orderlens-"))
+    return f"{base.rstrip('/')}/orderlens-{app}"
+
+
+def scratch_path(spark, label):
+    """Fresh path below the folder of this application."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df, label):
@@ -27,3 +35,10 @@ def materialize(df, label):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark):
+    """Delete the written tables of this application once no result needs them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder.getFileSystem(conf).delete(folder, True)
