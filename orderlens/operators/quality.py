@@ -3,13 +3,6 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _key(column):
-    """Text that is equal exactly when the values are equal; -0.0 counts as 0.0."""
-    plus = " + 0" if isinstance(column.dataType, T.FractionalType) else ""
-    return f"string(`{column.name}`{plus})"
 
 
 def _one_pass(df, label, value, cells):
@@ -32,27 +25,37 @@ def column_profile(df, approximate=False):
         )
         sums = df.agg(F.expr(f"array({cells})").alias("cells")).selectExpr("inline(cells)")
     else:
-        cells = ", ".join(
-            f"struct({i} as position, {_key(c)} as value)" for i, c in enumerate(df.schema)
-        )
+        # one slot per column type keeps the values typed; a cell fills the slot of its type
+        types = sorted({c.dataType.simpleString() for c in df.schema})
+        slots = [f"v{i}" for i in range(len(types))]
+
+        def cell(i, column):
+            own = column.dataType.simpleString()
+            filled = [
+                f"{f'`{column.name}`' if t == own else f'cast(null as {t})'} as {slot}"
+                for t, slot in zip(types, slots)
+            ]
+            return f"struct({i} as position, {', '.join(filled)})"
+
+        cells = ", ".join(cell(i, c) for i, c in enumerate(df.schema))
         values = (
             df.selectExpr(f"inline(array({cells}))")
-            .groupBy("position", "value")
+            .groupBy("position", *slots)
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        missing = F.col("value").isNull()
+        missing = F.expr(" and ".join(f"{slot} is null" for slot in slots))
         sums = values.groupBy("position").agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"),
-            F.count("value").alias("distinct_values"),
+            F.count_if(~missing).alias("distinct_values"),
         )
     names = F.lit([c.name for c in df.schema])
-    types = F.lit([c.dataType.simpleString() for c in df.schema])
+    dtypes = F.lit([c.dataType.simpleString() for c in df.schema])
     percent = F.rint(F.col("nulls") / F.col("rows") * 100 * 100.0) / 100.0
     return sums.select(
         "position",
         names[F.col("position")].alias("column"),
-        types[F.col("position")].alias("dtype"),
+        dtypes[F.col("position")].alias("dtype"),
         "nulls",
         percent.alias("null_pct"),
         "distinct_values",

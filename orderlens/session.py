@@ -15,6 +15,8 @@ def build_session(app_name="orderlens", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join key even where that costs one more shuffle after the join
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # a job of many small stages compiles more classes than the default cache keeps
+        "spark.sql.codegen.cache.maxEntries": "4000",
         # no Python call-site capture per column: plans are built from many small expressions
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
