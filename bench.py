@@ -16,17 +16,13 @@ from orderlens.session import build_session
 HEADLINE = [
     "master_sql",
     "master_notebook",
-    "latest_review",
     "quality_all_tables",
     "eda_pearson",
-    "payment_histogram",
     "payment_describe",
     "spearman_scores",
     "delay_mann_whitney",
     "delivery_kruskal",
-    "driver_table",
     "rfm_table",
-    "segment_summary",
     "order_sequence",
     "retention_wilson",
     "first_vs_repeat",

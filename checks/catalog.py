@@ -11,7 +11,7 @@ from orderlens.plans import drivers, evaluation, exploration, master, retention,
 from orderlens.scratch import materialize, scratch_path
 from orderlens.sources import sinks
 from orderlens.sources.fixture import fixture_tables
-from orderlens.sources.tables import load_tables
+from orderlens.sources.tables import ingest, load_tables
 
 SEED = 42
 
@@ -53,7 +53,7 @@ def _with_ci(t):
 
 
 def load_report(t):
-    """All tables written as CSV and loaded back; one file is left out on purpose."""
+    """All tables written as CSV and ingested to Parquet; one file is left out on purpose."""
     spark = t["orders"].sparkSession
     folder = scratch_path(spark, "csv")
     files = {}
@@ -62,7 +62,7 @@ def load_report(t):
         if name != "sellers":
             sinks.write_csv(df, f"{folder}/{files[name]}")
     schemas = {name: df.schema for name, df in t.items()}
-    return load_tables(spark, folder, files, schemas)[1]
+    return ingest(spark, folder, scratch_path(spark, "tables"), files, schemas)
 
 
 def csv_round_trip(t):

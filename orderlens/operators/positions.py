@@ -57,10 +57,11 @@ def number_within(df, group, keys, into="row_id", total_into="n_rows"):
     )
 
     # at most one group crosses each border, so these frames hold O(partitions) rows
+    key = F.struct(g.alias("_g"))  # a struct, so that a null group counts as an end too
     crossing = (
         stored.groupBy("_part")
-        .agg(F.array_distinct(F.array(F.min(g), F.max(g))).alias("_ends"))
-        .select(F.explode("_ends").alias("_g"))
+        .agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("_ends"))
+        .select(F.inline("_ends"))
         .groupBy("_g")
         .agg(F.count(F.lit(1)).alias("_parts"))
         .filter("_parts > 1")

@@ -18,14 +18,14 @@ SCANS = {
     "supplier": "s_suppkey bigint, s_nationkey int",
 }
 
-PURCHASE = "o_orderdate + make_dt_interval(0, int(o_orderkey % 24), int(o_orderkey % 60))"
+PURCHASE = "timestampadd(MINUTE, o_orderkey % 24 * 60 + o_orderkey % 60, o_orderdate)"
 TRANSIT = "o_orderkey * 37 % 960"
 ARRIVAL = (
     "case when o_orderstatus = 'F' and o_orderkey % 211 <> 0 "
-    f"then {PURCHASE} + make_dt_interval(0, int({TRANSIT})) end"
+    f"then timestampadd(HOUR, {TRANSIT}, {PURCHASE}) end"
 )
-ESTIMATE = "o_orderdate + make_dt_interval(int(15 + o_orderkey % 11))"
-CREATED = f"cast(date(least({ARRIVAL}, {ESTIMATE})) as timestamp_ntz) + make_dt_interval(1)"
+ESTIMATE = "timestampadd(HOUR, (15 + o_orderkey % 11) * 24, o_orderdate)"
+CREATED = f"cast(date_add(date(least({ARRIVAL}, {ESTIMATE})), 1) as timestamp_ntz)"
 CENTS = "bigint(rint(l_extendedprice * 100))"
 
 
@@ -70,10 +70,10 @@ class FixtureTables(Mapping):
             "case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped' "
             "else 'canceled' end as order_status",
             f"{PURCHASE} as order_purchase_timestamp",
-            f"case when o_orderkey % 97 <> 0 then {PURCHASE} + make_dt_interval(0, 1) end "
+            f"case when o_orderkey % 97 <> 0 then timestampadd(HOUR, 1, {PURCHASE}) end "
             "as order_approved_at",
-            f"case when o_orderstatus = 'F' then {PURCHASE} + "
-            f"make_dt_interval(0, int(({TRANSIT}) div 2)) end as order_delivered_carrier_date",
+            f"case when o_orderstatus = 'F' then timestampadd(HOUR, ({TRANSIT}) div 2, {PURCHASE}) "
+            "end as order_delivered_carrier_date",
             f"{ARRIVAL} as order_delivered_customer_date",
             f"{ESTIMATE} as order_estimated_delivery_date",
         )
@@ -103,6 +103,7 @@ class FixtureTables(Mapping):
         lines = self._scan("lineitem").filter("l_returnflag <> 'N' and l_linenumber <= 3")
         orders = self._scan("orders").drop("o_custkey")
         both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        both = both.selectExpr("*", f"{CREATED} as created")
         return both.selectExpr(
             "concat_ws('-', 'R', l_orderkey, l_linenumber, l_partkey, l_suppkey, int(l_quantity)) "
             "as review_id",
@@ -111,8 +112,8 @@ class FixtureTables(Mapping):
             f"else 5 - least(4, ({TRANSIT}) div 216) end) as review_score",
             "case when l_partkey % 8 = 0 then 'title' end as review_comment_title",
             "case when l_partkey % 3 <> 0 then 'msg' end as review_comment_message",
-            f"{CREATED} as review_creation_date",
-            f"{CREATED} + make_dt_interval(0, int(l_partkey % 72)) as review_answer_timestamp",
+            "created as review_creation_date",
+            "timestampadd(HOUR, l_partkey % 72, created) as review_answer_timestamp",
         )
 
     def _with_nation(self, name, key):

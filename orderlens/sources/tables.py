@@ -1,8 +1,9 @@
-"""Loading the source tables and running SQL scripts over them."""
+"""Loading and storing the source tables, and running SQL scripts over them."""
 
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from orderlens.schemas import TABLES
@@ -19,30 +20,57 @@ def read_csv(spark, path, schema, multi_line=False):
     return raw.select(*[F.col(c).try_cast(types[c]) if c in types else F.col(c) for c in raw.columns])
 
 
+def _existing(spark, folder, files, schemas):
+    tables = {}
+    for name, file in files.items():
+        try:
+            path = f"{folder.rstrip('/')}/{file}"
+            tables[name] = read_csv(spark, path, schemas[name], name in MULTI_LINE)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return tables
+
+
 def load_tables(spark, folder, files=None, schemas=None):
     """Load every table whose file exists.
 
     ``files`` maps table name to file name, ``<table>.csv`` by default. Returns the
-    tables and a report frame (table, status, rows).
+    tables and a lazy report frame (table, status, rows).
     """
     schemas = schemas or TABLES
     files = files or {name: f"{name}.csv" for name in schemas}
-    tables, lines = {}, []
-    for name, file in files.items():
-        try:
-            path = f"{folder.rstrip('/')}/{file}"
-            tables[name] = read_csv(spark, path, schemas[name], name in MULTI_LINE)
+    tables = _existing(spark, folder, files, schemas)
+    lines = []
+    for name in files:
+        if name in tables:
             counted = tables[name].agg(F.count(F.lit(1)).alias("rows"))
-            status = "loaded"
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        else:
             counted = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
-            status = "skipped"
-        lines.append(counted.select(F.lit(name).alias("table"), F.lit(status).alias("status"), "rows"))
+        status = F.lit("loaded" if name in tables else "skipped")
+        lines.append(counted.select(F.lit(name).alias("table"), status.alias("status"), "rows"))
     return tables, reduce(lambda a, b: a.unionByName(b), lines)
 
 
+def ingest(spark, folder, target, files=None, schemas=None):
+    """Store every table whose CSV file exists as Parquet below ``target``, replacing it.
+
+    Rows are counted while they are written. Returns a report frame (table, status, rows).
+    """
+    files = files or {name: f"{name}.csv" for name in schemas or TABLES}
+    tables = _existing(spark, folder, files, schemas or TABLES)
+    report = []
+    for name in files:
+        rows = None
+        if name in tables:
+            seen = Observation(f"ingest-{name}")
+            counted = tables[name].observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
+            rows = int(seen.get["rows"])
+        report.append((name, "loaded" if name in tables else "skipped", rows))
+    return spark.createDataFrame(report, "table string, status string, rows bigint")
+
+
 def read_parquet_tables(spark, folder, names=None):
     """Lazy scans: a table that no job uses is never read."""
     return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names or TABLES}

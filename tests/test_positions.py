@@ -34,10 +34,11 @@ def test_quintiles_equal_pandas(spark, n, ascending):
     assert [r["score"] for r in got] == list(want)
 
 
-def test_group_larger_than_a_partition(spark):
+@pytest.mark.parametrize("nulls", [0, 30, 900, 1100, 4000])
+def test_group_larger_than_a_partition(spark, nulls):
     """One group holds most rows and crosses many sort partitions; one group is null."""
     rng = np.random.default_rng(1)
-    keys = ["hot"] * 4000 + [f"k{i % 50}" for i in range(900)] + [None] * 30
+    keys = ["hot"] * 4000 + [f"k{i % 50}" for i in range(900)] + [None] * nulls
     pdf = pd.DataFrame({"g": keys, "t": rng.integers(0, 500, len(keys)), "id": range(len(keys))})
     df = spark.createDataFrame(
         [(g, int(t), i) for g, t, i in pdf.itertuples(index=False)], "g string, t int, id int"

@@ -9,7 +9,7 @@ from orderlens.operators import quality, summaries
 from orderlens.plans import evaluation, master, retention, rfm
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
-from orderlens.sources.tables import load_tables, read_parquet_tables, run_script
+from orderlens.sources.tables import ingest, load_tables, read_parquet_tables, run_script
 
 
 def test_csv_load_skips_missing_and_coerces(spark, tmp_path):
@@ -36,6 +36,15 @@ def test_csv_load_skips_missing_and_coerces(spark, tmp_path):
     assert reviews["r2"]["review_score"] is None
 
 
+def test_ingest_replaces_and_reports(spark, tmp_path):
+    (tmp_path / "sellers.csv").write_text("seller_id,seller_state\ns1,SP\ns2,RJ\n")
+    target = scratch_path(spark, "ingest")
+    for _ in range(2):
+        report = {r["table"]: r["rows"] for r in ingest(spark, str(tmp_path), target).collect()}
+    assert report["sellers"] == 2 and report["orders"] is None and len(report) == 9
+    assert read_parquet_tables(spark, target, ["sellers"])["sellers"].count() == 2
+
+
 def test_export_receipt_and_reload(spark):
     folder = scratch_path(spark, "sink")
     df = spark.range(7).withColumn("v", F.col("id") * 2)
