@@ -274,6 +274,7 @@ QUERIES = {
     "delivery_kruskal": lambda t: fixed(drivers.delivery_kruskal(_reviewed(t)), 5),
     "driver_table": lambda t: fixed(drivers.driver_table(_reviewed(t))),
     "driver_ranking": lambda t: fixed(drivers.driver_ranking(drivers.driver_table(_reviewed(t)))),
+    "driver_actions": lambda t: fixed(drivers.driver_actions(drivers.driver_table(_reviewed(t)))),
     "driver_effects": lambda t: fixed(drivers.driver_effects(_reviewed(t))),
     "delay_ci_by_score": lambda t: fixed(drivers.delay_ci_by_score(_reviewed(t))),
     "medians_by_score": lambda t: fixed(drivers.medians_by_score(_reviewed(t)), 6),

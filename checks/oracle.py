@@ -703,6 +703,19 @@ BODIES["driver_ranking"] = f"""
         THEN 'Mann-Whitney significant; most late orders are reviewed before delivery'
       WHEN 'n_items' THEN 'Monotonic by score, unlike the freight ratio' ELSE '' END AS evidence
   FROM ({DRIVERS}) ORDER BY round(abs(spearman_rho), 12) DESC, variable LIMIT 3"""
+BODIES["driver_actions"] = f"""
+  SELECT place || '. ' || variable AS factor, round(spearman_rho, 8) + 0e0 AS spearman_rho,
+    interpretation, action
+  FROM (SELECT *, row_number() OVER (ORDER BY round(abs(spearman_rho), 12) DESC, variable) AS place
+        FROM ({DRIVERS}))
+    JOIN (VALUES
+      (1, 'Total time from purchase to delivery is the strongest driver of dissatisfaction',
+       'Shorten the whole purchase-to-delivery cycle, not only the accuracy of the promise'),
+      (2, 'Late arrival predicts dissatisfaction, partly through reviews written while waiting',
+       'Report order status while the customer waits'),
+      (3, 'Orders with more items get slightly worse reviews',
+       'Review packaging and tracking of multi-item orders')) a(place, interpretation, action)
+      USING (place)"""
 BODIES["driver_effects"] = f"""
   SELECT feature AS driver, round_even((rho * 1e4)::DOUBLE, 0) / 1e4 AS rho,
     round_even((rho * rho * 1e4)::DOUBLE, 0) / 1e4 AS "R2", round(p_value, 8) + 0e0 AS p_value,
