@@ -6,6 +6,7 @@ from orderlens.functions.scalars import days_floor, half_even, seconds_between,
 from orderlens.operators.histograms import equal_width_bins, quantile_scalar, tally
 from orderlens.operators.summaries import frequency, top
 
+# fixed values: columns of the correlation matrix
 ANALYSIS_COLUMNS = [
     "review_score",
     "delivery_days",

@@ -20,6 +20,7 @@ from orderlens.operators.quality import funnel, repeated_keys, violations
 
 NEEDED_DATES = ["order_delivered_customer_date", "order_estimated_delivery_date"]
 
+# fixed values: columns of the two forms, in order
 SQL_COLUMNS = [
     "order_id",
     "customer_unique_id",
