@@ -13,8 +13,9 @@ shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two node
    rare to common) and each node posts its prefix, |x| - ceil(t |x|) + 1 shingles. Two linked
    nodes share a posted shingle whatever the order is, so the order only decides the amount
    of work. Frequent shingles are dealt over SALTS lists.
-3. Every node is first tested against the list head it shares most postings with. That joins
-   large groups of near copies without looking at their pairs.
+3. Every node is first tested against the list head it shares most postings with, and in ROUNDS
+   more rounds, nodes of lists that still hold several components against a head of another
+   one. That joins large groups of near copies without looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
    positional filter and the suffix filter (a bound on the shared shingles from two bitmaps) and
    are verified once per pair on whole sets. No partner or candidate is capped.
@@ -38,9 +39,10 @@ from orderlens.llm.support import checked_broadcast, materialize, slices
 
 WORDS = 5
 PERCENT = 75
-HOT_LIMIT = 1 << 20  # frequent shingles broadcast, 8 bytes each
+HOT_LIMIT = 1 << 22  # frequent shingles broadcast, 12 bytes each
 HOT_LEAST = 16  # a shingle of fewer texts is never called frequent
 SALTS = 64
+ROUNDS = 3
 COUNTED_AT_ONCE = 1 << 22  # shingles of one input partition counted together
 CACHED_WORDS = 400_000
 
@@ -234,6 +236,8 @@ def _linked(pairs, nodes, texts, size, percent):
     pairs = pairs.distinct().join(left, "a").join(right, "b")
     pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = materialize(pairs.mapInArrow(_suffix_filter(percent), "a long, b long"), "pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
     ids = checked_broadcast(wanted.select("doc_id"))
@@ -259,6 +263,34 @@ def frequent_shingles(described, hot_limit=HOT_LIMIT, least=HOT_LEAST):
     return hot, rank
 
 
+def _open_lists(lists, roots):
+    """Postings of shingles whose nodes are in several components, with the nodes' ``root``."""
+    rows = lists.select("shingle", "node", "n", "pos").join(checked_broadcast(roots), "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q"))
+    mixed = materialize(mixed.where("p <> q").select("shingle"), "mixed")
+    return materialize(rows.join(checked_broadcast(mixed), "shingle", "left_semi"), "open")
+
+
+def _other_heads(lists, turn):
+    """(a, b): each node and the head of another component that it shares most open lists with.
+
+    A list has two heads, of the smallest and the largest draw of the turn.
+    """
+    drawn = lists.withColumn("draw", F.xxhash64("node", F.lit(turn)))
+    heads = drawn.groupBy("shingle").agg(
+        F.min_by("node", "draw").alias("b"),
+        F.min_by("root", "draw").alias("root_b"),
+        F.max_by("node", "draw").alias("c"),
+        F.max_by("root", "draw").alias("root_c"),
+    )
+    heads = materialize(heads, "heads")
+    rows = lists.select("shingle", F.col("node").alias("a"), "root").join(heads, "shingle")
+    rows = rows.withColumn("b", F.expr("CASE WHEN root <> root_b THEN b WHEN root <> root_c THEN c END"))
+    times = rows.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("times"))
+    return times.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+
+
 def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -287,16 +319,17 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     across = across.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links = _linked(best.union(across), nodes, texts, size, percent)
 
-    # whatever is not in one component yet
-    roots = components(links)
-    members = lists.drop("head", "hot").join(roots, "node", "left")
-    members = members.withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members, "members")
-    mixed = members.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q"))
-    mixed = materialize(mixed.where("p <> q").select("shingle"), "mixed")
-    open_lists = members.join(mixed, "shingle", "left_semi")
-    x = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
-    y = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+    # nodes of lists that are not in one component yet: other heads first, then all pairs
+    for k in range(ROUNDS):
+        lists = _open_lists(lists, components(links))
+        found = _linked(_other_heads(lists, k), nodes, texts, size, percent)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+    else:
+        lists = _open_lists(lists, components(links))
+    x = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
+    y = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
     enough = f"ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
     pairs = x.join(y, "shingle").where(
         f"node_a < node_b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"

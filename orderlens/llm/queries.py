@@ -2,8 +2,12 @@
 
 import public_tokenizers
 
-from orderlens.llm import jaccard_join, piece_codec, token_counts
-from orderlens.llm.support import table
+from orderlens.llm import jaccard_join, line_dedup, mixing, piece_codec, token_counts, warc_archive
+from orderlens.llm.support import scratch_path, table
+
+
+def op1_substring_dedup(spark, folder):
+    return line_dedup.repeated_spans(table(spark, folder, "documents"))
 
 
 def op3_token_counts(spark, folder):
@@ -14,10 +18,30 @@ def op5_jaccard_join(spark, folder):
     return jaccard_join.jaccard_classes(table(spark, folder, "documents"))
 
 
+def op6_mixing(spark, folder):
+    return mixing.mixture(table(spark, folder, "documents"))
+
+
 def op8_sentencepiece(spark, folder):
     docs = table(spark, folder, "documents")
     return piece_codec.digests(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_jaccard_join, op8_sentencepiece)}
+def op10_warc(spark, folder):
+    archive = scratch_path(spark, "archive")
+    warc_archive.write_archive(table(spark, folder, "pages"), archive)
+    return warc_archive.page_records(*warc_archive.read_archive(spark, archive))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op3_token_counts,
+        op5_jaccard_join,
+        op6_mixing,
+        op8_sentencepiece,
+        op10_warc,
+    )
+}
 ORACLE = {}
