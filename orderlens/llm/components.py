@@ -16,28 +16,25 @@ def components(links):
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = materialize(links.where("a <> b").distinct(), "edges")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
-    labels = materialize(ends.distinct().withColumn("root", F.col("node")), "labels")
-    while not edges.isEmpty():
+    labels = None
+    while not edges.isEmpty() or labels is None:
         both = edges.union(edges.select("b", "a"))
         step = both.groupBy(F.col("a").alias("node")).agg(
             F.least(F.first("a"), F.min("b")).alias("up")
         )
         step = materialize(step, "step")
         higher = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = materialize(
-            step.join(higher, "up", "left").select("node", F.coalesce("top", "up").alias("up")),
-            "jump",
-        )
-        rename = step.withColumnRenamed("node", "root")
-        labels = materialize(
-            labels.join(rename, "root", "left").select(
+        jump = step.join(higher, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        if labels is None:
+            labels = jump.withColumnRenamed("up", "root")
+        else:
+            rename = jump.withColumnRenamed("node", "root")
+            labels = labels.join(rename, "root", "left").select(
                 "node", F.coalesce("up", "root").alias("root")
-            ),
-            "labels",
-        )
-        a = step.select(F.col("node").alias("a"), F.col("up").alias("x"))
-        b = step.select(F.col("node").alias("b"), F.col("up").alias("y"))
+            )
+        labels = materialize(labels, "labels")
+        a = jump.select(F.col("node").alias("a"), F.col("up").alias("x"))
+        b = jump.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = edges.join(a, "a").join(b, "b").where("x <> y")
         edges = materialize(
             moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges"

@@ -13,8 +13,8 @@ shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two node
    rare to common) and each node posts its prefix, |x| - ceil(t |x|) + 1 shingles. Two linked
    nodes share a posted shingle whatever the order is, so the order only decides the amount
    of work. Frequent shingles are dealt over SALTS lists.
-3. Every node is first tested against the list head it shares most postings with, and in ROUNDS
-   more rounds, nodes of lists that still hold several components against a head of another
+3. Every node is first tested against the list head it shares most postings with, and then, in ROUNDS
+   rounds, nodes of lists that still hold several components against a head of another
    one. That joins large groups of near copies without looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
    positional filter and the suffix filter (a bound on the shared shingles from two bitmaps) and
@@ -42,7 +42,7 @@ PERCENT = 75
 HOT_LIMIT = 1 << 22  # frequent shingles broadcast, 12 bytes each
 HOT_LEAST = 16  # a shingle of fewer texts is never called frequent
 SALTS = 64
-ROUNDS = 3
+ROUNDS = 1
 COUNTED_AT_ONCE = 1 << 22  # shingles of one input partition counted together
 CACHED_WORDS = 400_000
 

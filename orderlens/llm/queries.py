@@ -2,7 +2,18 @@
 
 import public_tokenizers
 
-from orderlens.llm import jaccard_join, line_dedup, mixing, piece_codec, token_counts, warc_archive
+from orderlens.llm import (
+    hamming_index,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    piece_codec,
+    pivot_dedup,
+    quality_model,
+    token_counts,
+    toxicity,
+    warc_archive,
+)
 from orderlens.llm.support import scratch_path, table
 
 
@@ -10,10 +21,18 @@ def op1_substring_dedup(spark, folder):
     return line_dedup.repeated_spans(table(spark, folder, "documents"))
 
 
+def op2_nearest(spark, folder):
+    return hamming_index.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op3_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality(spark, folder):
+    return quality_model.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_jaccard_join(spark, folder):
     return jaccard_join.jaccard_classes(table(spark, folder, "documents"))
 
@@ -22,11 +41,19 @@ def op6_mixing(spark, folder):
     return mixing.mixture(table(spark, folder, "documents"))
 
 
+def op7_embedding_dedup(spark, folder):
+    return pivot_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op8_sentencepiece(spark, folder):
     docs = table(spark, folder, "documents")
     return piece_codec.digests(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op9_toxicity(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_warc(spark, folder):
     archive = scratch_path(spark, "archive")
     warc_archive.write_archive(table(spark, folder, "pages"), archive)
@@ -37,10 +64,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_nearest,
         op3_token_counts,
+        op4_quality,
         op5_jaccard_join,
         op6_mixing,
+        op7_embedding_dedup,
         op8_sentencepiece,
+        op9_toxicity,
         op10_warc,
     )
 }
