@@ -1,5 +1,6 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 
+import corpus_pipeline
 import public_tokenizers
 
 from orderlens.llm import (
@@ -60,7 +61,7 @@ def op10_warc(spark, folder):
     return warc_archive.page_records(*warc_archive.read_archive(spark, archive))
 
 
-QUERIES = {
+QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
         op1_substring_dedup,
