@@ -66,11 +66,12 @@ def learn_rotation(sample, bits=BITS, turns=TURNS, seed=0):
 def codes(rows, learnt):
     """Bytes of the codes, one row each."""
     mean, turn = learnt
-    return np.packbits((rows - mean) @ turn >= 0, axis=1)
+    return np.ascontiguousarray(np.packbits((rows - mean) @ turn >= 0, axis=1))
 
 
 def distances(query, others):
-    return np.bitwise_count(others ^ query).sum(1, dtype=np.int32)
+    """Hamming distances of one code to others; the codes have a multiple of 8 bytes."""
+    return np.bitwise_count(others.view(np.uint64) ^ query.view(np.uint64)).sum(1, dtype=np.int32)
 
 
 class SubstringIndex:
@@ -78,17 +79,15 @@ class SubstringIndex:
 
     def __init__(self, coded):
         self.coded = coded
-        self.order = np.argsort(coded, axis=0, kind="stable")
-        self.edges = [np.searchsorted(coded[self.order[:, s], s], np.arange(257)) for s in range(coded.shape[1])]
+        self.lists = [np.argsort(coded[:, s], kind="stable") for s in range(coded.shape[1])]
+        self.lengths = [np.bincount(coded[:, s], minlength=256) for s in range(coded.shape[1])]
 
     def within(self, query, radius):
         """Rows whose code is at most ``radius`` from the query's, by pigeonhole probing."""
         reach = radius // self.coded.shape[1]
         met = np.zeros(len(self.coded), np.bool_)
-        for s, edges in enumerate(self.edges):
-            probes = np.flatnonzero(_BYTES[query[s]] <= reach)
-            for value in probes:
-                met[self.order[edges[value] : edges[value + 1], s]] = True
+        for s, (rows, lengths) in enumerate(zip(self.lists, self.lengths)):
+            met[rows[np.repeat(_BYTES[query[s]] <= reach, lengths)]] = True
         rows = np.flatnonzero(met)
         return rows[distances(query, self.coded[rows]) <= radius]
 
