@@ -14,6 +14,11 @@ from orderlens.sources.fixture import fixture_tables
 from orderlens.sources.tables import ingest, load_tables
 
 SEED = 42
+# labels that the queries attach to drivers, places and segments
+NOTES = {"delivery_days": "time", "delivery_delay_days": "delay", "n_items": "size"}
+READINGS = {1: "first", 2: "second", 3: "third"}
+STEPS = {1: "step one", 2: "step two", 3: "step three"}
+PROFILES = {"Champions": "A", "Loyal": "B", "New Customers": "C", "At Risk": "D", "Lost": "E"}
 
 
 def fixed(df, places=8):
@@ -273,8 +278,12 @@ QUERIES = {
     "delay_mann_whitney": lambda t: fixed(drivers.delay_mann_whitney(_reviewed(t)), 6),
     "delivery_kruskal": lambda t: fixed(drivers.delivery_kruskal(_reviewed(t)), 5),
     "driver_table": lambda t: fixed(drivers.driver_table(_reviewed(t))),
-    "driver_ranking": lambda t: fixed(drivers.driver_ranking(drivers.driver_table(_reviewed(t)))),
-    "driver_actions": lambda t: fixed(drivers.driver_actions(drivers.driver_table(_reviewed(t)))),
+    "driver_ranking": lambda t: fixed(
+        drivers.driver_ranking(drivers.driver_table(_reviewed(t)), NOTES)
+    ),
+    "driver_actions": lambda t: fixed(
+        drivers.driver_actions(drivers.driver_table(_reviewed(t)), READINGS, STEPS)
+    ),
     "driver_effects": lambda t: fixed(drivers.driver_effects(_reviewed(t))),
     "delay_ci_by_score": lambda t: fixed(drivers.delay_ci_by_score(_reviewed(t))),
     "medians_by_score": lambda t: fixed(drivers.medians_by_score(_reviewed(t)), 6),
@@ -285,10 +294,10 @@ QUERIES = {
     "days_box_by_score": box_by("delivery_days"),
     "late_vs_ontime": lambda t: fixed(drivers.late_vs_ontime(_reviewed(t))),
     "category_negative_rates": lambda t: fixed(
-        drivers.category_negative_rates(_reviewed(t), min_orders=20)
+        drivers.category_negative_rates(_reviewed(t), min_orders=120)
     ),
     "category_rate_extremes": lambda t: fixed(
-        drivers.rate_extremes(drivers.category_negative_rates(_reviewed(t), min_orders=20))
+        drivers.rate_extremes(drivers.category_negative_rates(_reviewed(t), min_orders=120))
     ),
     "state_negative_top10": lambda t: fixed(drivers.negative_by_state(_reviewed(t))),
     "median_delay_top8": lambda t: drivers.median_delay_of_top_categories(
@@ -335,7 +344,7 @@ QUERIES = {
     # evaluation
     "input_overview": input_overview,
     "segment_profile": lambda t: fixed(
-        evaluation.segment_profiles(rfm.segment_profile(_rfm(t))), 6
+        evaluation.segment_profiles(rfm.segment_profile(_rfm(t)), PROFILES), 6
     ),
     "segment_checks": lambda t: evaluation.segment_checks(_rfm(t)),
     "satisfaction_by_segment": lambda t: fixed(satisfaction(t)),

@@ -125,8 +125,9 @@ def box_stats(counts, groups, value):
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),
         F.max("q3").alias("q3"),
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
+        # a whisker does not end inside the box
+        F.least(F.max("q1"), F.min(F.when(inside, v))).alias("whisker_low"),
+        F.greatest(F.max("q3"), F.max(F.when(inside, v))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
     )
 

@@ -139,13 +139,14 @@ def kruskal_wallis(df, value, group):
 def benjamini_hochberg(tests, p, key, alpha=0.05):
     """Add ``p_adjusted`` and ``significant`` to a frame with one row per test.
 
-    The window spans the list of tests that the caller named, not data rows.
+    A test without p-value (a constant feature) does not count and gets null for both. The
+    window spans the list of tests that the caller named, not data rows.
     """
-    by_p = Window.orderBy(F.col(p).asc(), F.col(key).asc())
-    m = F.count(F.lit(1)).over(Window.partitionBy())
+    by_p = Window.orderBy(F.col(p).asc_nulls_last(), F.col(key).asc())
+    m = F.count(p).over(Window.partitionBy())
     scaled = tests.withColumn("_scaled", F.col(p) * m / F.row_number().over(by_p))
     onward = by_p.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adjusted = F.least(F.lit(1.0), F.min("_scaled").over(onward))
+    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_scaled").over(onward)))
     return (
         scaled.withColumn("p_adjusted", adjusted)
         .withColumn("significant", F.col("p_adjusted") <= alpha)

@@ -100,7 +100,7 @@ class FixtureTables(Mapping):
         )
 
     def _order_reviews(self):
-        lines = self._scan("lineitem").filter("l_returnflag <> 'N' and l_linenumber <= 3")
+        lines = self._scan("lineitem").filter("l_returnflag <> 'N'")
         orders = self._scan("orders").drop("o_custkey")
         both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         both = both.selectExpr("*", f"{CREATED} as created")

@@ -100,10 +100,17 @@ def test_box_stats(spark, mixed):
         v = mixed[mixed.g == row["g"]]["v"].dropna()
         q1, q3 = v.quantile([0.25, 0.75])
         inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
-        assert row["whisker_low"] == inside.min() and row["whisker_high"] == inside.max()
+        assert row["whisker_low"] == min(q1, inside.min())
+        assert row["whisker_high"] == max(q3, inside.max())
         assert row["n_outliers"] == len(v) - len(inside) and row["n"] == len(v)
 
 
+def test_whiskers_do_not_end_inside_the_box(spark):
+    df = spark.createDataFrame([(0.0,), (0.0,), (0.0,), (100.0,)], "v double")
+    row = h.box_stats(h.tally(df, [], "v"), [], "v").collect()[0]
+    assert (row["q3"], row["whisker_high"], row["n_outliers"]) == (25.0, 25.0, 1)
+
+
 def test_histogram_equals_numpy(spark):
     values = np.random.default_rng(5).integers(-50, 400, 3000)
     df = spark.createDataFrame([(int(v),) for v in values], "v int")

@@ -126,3 +126,11 @@ def test_benjamini_hochberg(spark):
     want = [0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5]
     assert [got[f"t{i}"]["p_adjusted"] for i in range(4)] == pytest.approx(want)
     assert [got[f"t{i}"]["significant"] for i in range(4)] == [True, False, False, False]
+
+
+def test_benjamini_hochberg_leaves_out_null_p(spark):
+    rows = [("t0", 0.01), ("t1", None), ("t2", 0.04), ("t3", 0.03)]
+    df = spark.createDataFrame(rows, "name string, p double")
+    got = {r["name"]: r for r in st.benjamini_hochberg(df, "p", "name").collect()}
+    assert got["t1"]["p_adjusted"] is None and got["t1"]["significant"] is None
+    assert [got[k]["p_adjusted"] for k in ("t0", "t3", "t2")] == pytest.approx([0.03, 0.04, 0.04])
