@@ -1,7 +1,7 @@
 """Substring dedup: repeated passages found by hashing short units of each line.
 
 A unit is a sentence of a line: it ends at a line break, behind a word that ends in ``.``, ``!``
-or ``?``, or in front of a capitalised word that follows one in lower case (a passage pasted into
+or ``?``, or in front of a capitalised word that follows one in lower case or a comma (a passage pasted into
 the middle of a sentence starts there). Units are normalised (case folded, only letters and
 digits kept) and hashed to 128 bits. Digests are grouped globally; the occurrence in the
 smallest doc_id, and there the first one, is kept. A stretch of units that follow each other and are
@@ -28,7 +28,7 @@ from orderlens.llm.support import materialize, slices
 MIN_WORDS = 40
 UNITS = "doc_id long, unit int, start int, stop int, words int, high long, low long"
 _NAMES = ["doc_id", "unit", "start", "stop", "words", "high", "low"]
-_CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+|(?<=[^\W\d_A-Z])[ \t]+(?=[^\W\d_a-z])")
+_CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+|(?<=(?:[^\W\d_A-Z]|[,;:]))[ \t]+(?=[^\W\d_a-z])")
 _PLAIN = re.compile(r"[\W_]+")
 
 
@@ -37,7 +37,7 @@ def units_of(text):
     out, at = [], 0
     for cut in [*_CUT.finditer(text), None]:
         stop, after = (cut.start(), cut.end()) if cut else (len(text), len(text))
-        if cut and text[cut.end() : cut.end() + 1].islower() and cut.group()[0] != "\n" and text[cut.start() - 1] not in ".!?":
+        if cut and text[cut.end() : cut.end() + 1].islower() and cut.group()[0] != "\n" and text[cut.start() - 1] not in ".!?":  # a small letter beyond ASCII
             continue
         plain = _PLAIN.sub(" ", text[at:stop]).strip().lower()
         if plain:
