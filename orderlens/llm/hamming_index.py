@@ -15,8 +15,8 @@ distances to the sample's codes say which one. The number of floats looked at pe
 stays the same as the table grows. README has the recall against brute force.
 
 Queries are matched with every block (a stated query set against all rows, in blocks). A query
-that finds fewer than its wanted number within its radius is answered by a full look at each block,
-so no row is out of reach.
+that finds no more than its wanted number in a block that should hold as many is answered by a full
+look at that block. A table of no more than CANDIDATES rows lies within every radius.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, or are of
 another length than the most common one, take no part. Of equal vectors the smallest wanted + 1
@@ -94,6 +94,8 @@ class SubstringIndex:
 
 def radius_for(query, sample, share):
     """Hamming radius that holds about ``share`` of the codes, from the sample's distances."""
+    if share >= 1:
+        return 8 * len(query)  # a small table: everything is within
     found = distances(query, sample)
     if share * len(sample) >= 8:
         return int(np.quantile(found, min(1.0, share)))
