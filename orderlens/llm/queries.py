@@ -76,4 +76,14 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op10_warc,
     )
 }
-ORACLE = {}
+ORACLE = {
+    "op10_warc": """
+      SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN later THEN first_page END AS refers_to
+      FROM (SELECT *, payload_bytes >= 100 AND page_id <> first_page AS later
+            FROM (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+                    sha256(html) AS payload_digest,
+                    min(page_id) OVER (PARTITION BY html) AS first_page
+                  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))"""
+}
