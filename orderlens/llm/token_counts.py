@@ -20,6 +20,7 @@ their result. An empty table gives an empty result. Other columns are ignored.
 import json
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,42 +48,81 @@ def byte_letters():
 
 
 class Vocabulary:
-    """Tokens, merges and special strings of a tokenizers JSON file."""
+    """Tokens, merges and special strings of a tokenizers JSON file.
+
+    Tokens are numbers here. ``made`` is the rank of the merge that makes a token (-1: a byte),
+    ``halves`` the two tokens it is made of. ``step`` leads from a prefix of tokens (0: the empty
+    one) and a byte to the longer prefix, and ``ends`` has the token that a prefix is, if any.
+    """
 
     def __init__(self, path):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         raw = {letter: byte for byte, letter in byte_letters().items()}
         plain = lambda s: bytes(raw[c] for c in s)
-        self.rank = {}
+        merges = {}
         for i, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank.setdefault((plain(a), plain(b)), i)
+            merges.setdefault((plain(a), plain(b)), i)
         special = [t["content"] for t in data["added_tokens"]]
-        tokens = {plain(t) for t in data["model"]["vocab"] if t not in special}
+        names = [plain(t) for t in data["model"]["vocab"] if t not in special]
         # a token that its own bytes do not encode to never occurs
-        self.tokens = {t for t in tokens if len(t) == 1 or self.merge(t) == [t]}
-        self.starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        split = {t: merged(t, merges) for t in names}
+        self.tokens = {t: i for i, t in enumerate(t for t in names if len(split[t]) <= 2 and (len(t) == 1 or split[t] in merges))}
+        self.rank = {(self.tokens[a], self.tokens[b]): r for (a, b), r in merges.items() if a in self.tokens and b in self.tokens}
+        self.halves = [(self.tokens[split[t][0]], self.tokens[split[t][1]]) if len(t) > 1 else None for t in self.tokens]
+        self.made = [self.rank[h] if h else -1 for h in self.halves]
+        self.step, self.ends = {}, [None]
+        for token, number in self.tokens.items():
+            at = 0
+            for byte in token:
+                after = self.step.get(at << 8 | byte)
+                if after is None:
+                    after = self.step[at << 8 | byte] = len(self.ends)
+                    self.ends.append(None)
+                at = after
+            self.ends[at] = number
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
-    def merge(self, data):
-        """Tokens of some bytes by repeated best merges; used on pairs of tokens only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == 1 << 60:
-                break
-            at, out = 0, []
-            while at < len(parts):
-                if at < len(ranks) and ranks[at] == best:
-                    out.append(parts[at] + parts[at + 1])
-                    at += 2
-                else:
-                    out.append(parts[at])
-                    at += 1
-            parts = out
-        return parts
+    def compatible(self, x, y):
+        """Whether the bytes of two tokens together encode to these two tokens.
+
+        The merges inside both are undone, the last one first. If the two tokens at the border
+        had a merge that comes before the one undone, it would have joined them. Of equal
+        merges the left one comes first.
+        """
+        limit = len(self.made) << 8
+        while True:
+            if self.rank.get((x, y), limit) < limit:
+                return False
+            if self.made[x] > self.made[y]:
+                limit, x = self.made[x], self.halves[x][1]
+            elif self.made[y] >= 0:
+                limit, y = self.made[y] + 1, self.halves[y][0]
+            else:
+                return True
+
+
+def merged(data, merges):
+    """Parts of a token's bytes after repeated best merges, stopped at two parts."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 2:
+        ranks = [merges.get(p, 1 << 60) for p in zip(parts, parts[1:])]
+        best = min(ranks)
+        if best == 1 << 60:
+            break
+        at, out = 0, []
+        while at < len(parts):
+            if at < len(ranks) and ranks[at] == best:
+                out.append(parts[at] + parts[at + 1])
+                at += 2
+            else:
+                out.append(parts[at])
+                at += 1
+        if len(out) == 1:
+            break
+        parts = out
+    return tuple(parts)
 
 
 class PrefixCounter:
@@ -90,33 +130,33 @@ class PrefixCounter:
 
     def __init__(self, vocabulary):
         self.vocabulary = vocabulary
-        self.fits, self.pretokens, self.words, self.firsts = {}, {}, {}, {}
+        self.fits, self.pretokens, self.words = {}, {}, {}
         self.find = regex.compile(PATTERN).findall
         self.beside = re.compile(r"\s | \s|^ | $").search  # a blank that is no chunk start
 
-    def compatible(self, left, right):
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) >= CACHED:
-                self.fits.clear()
-            known = self.fits[key] = self.vocabulary.merge(left + right) == [left, right]
-        return known
-
     def prefix_counts(self, data):
         """count[i]: tokens of data[:i], for bytes of one pretoken."""
-        tokens, starts, n = self.vocabulary.tokens, self.vocabulary.starts, len(data)
+        step, ends, fits, n = self.vocabulary.step.get, self.vocabulary.ends, self.fits, len(data)
+        if len(fits) >= CACHED:
+            fits.clear()
         last, count = [None] * (n + 1), [0] * (n + 1)
         for j in range(n):
-            left = last[j]
-            i = j + 1
-            while i <= n:
-                piece = data[j:i]
-                if piece not in starts:
+            left, at = last[j], 0
+            for i in range(j, n):
+                at = step(at << 8 | data[i])
+                if at is None:
                     break
-                if piece in tokens and last[i] is None and (left is None or self.compatible(left, piece)):
-                    last[i], count[i] = piece, count[j] + 1
-                i += 1
+                token = ends[at]
+                if token is None or last[i + 1] is not None:
+                    continue
+                if left is not None:
+                    key = left << 32 | token
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = fits[key] = self.vocabulary.compatible(left, token)
+                    if not fit:
+                        continue
+                last[i + 1], count[i + 1] = token, count[j] + 1
         return count
 
     def pretoken(self, text):
@@ -154,7 +194,19 @@ class PrefixCounter:
         return [parts[0], *(" " + p for p in parts[1:])]
 
     def count(self, text):
-        return sum(map(self.chunk, self.chunks(text))) if text else 0
+        if not text:
+            return 0
+        chunks = self.chunks(text)
+        counts = list(map(self.words.get, chunks))
+        if None in counts:
+            counts = map(self.chunk, chunks)
+        return sum(counts)
+
+
+@lru_cache(maxsize=1)
+def shared_counter(path):
+    """The counter of a vocabulary file; tasks that follow each other in a worker keep its caches."""
+    return PrefixCounter(Vocabulary(path))
 
 
 def tokens_before(counter, text, ends, counts, length):
@@ -180,7 +232,7 @@ def longest_within(counter, text, ends, counts, budget):
 
 def _counted(path):
     def run(batches):
-        counter = PrefixCounter(Vocabulary(path))
+        counter = shared_counter(path)
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -197,7 +249,7 @@ def _counted(path):
 
 def _tabled(path):
     def run(batches):
-        counter = PrefixCounter(Vocabulary(path))
+        counter = shared_counter(path)
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             cut = [counter.chunks(t) if t else [] for t in texts]
@@ -214,7 +266,7 @@ def _tabled(path):
 
 def _truncated(path, budget):
     def run(batches):
-        counter = PrefixCounter(Vocabulary(path))
+        counter = shared_counter(path)
         for part in slices(batches):
             rows = zip(*(part.column(c).to_pylist() for c in ("text", "ends", "counts")))
             texts = [t and t[: longest_within(counter, t, e, c, budget)] for t, e, c in rows]
