@@ -17,8 +17,9 @@ shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two node
    rounds, nodes of lists that still hold several components against a head of another
    one. That joins large groups of near copies without looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
-   positional filter and the suffix filter (a bound on the shared shingles from two bitmaps) and
-   are verified once per pair on whole sets. No partner or candidate is capped.
+   positional filter (once per shared posting, and once on all that a pair shares) and the suffix
+   filter (a bound on the shared shingles from two bitmaps) and are verified once per pair on
+   whole sets. No partner or candidate is capped.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; its
 component is its own doc_id. Rows that repeat a doc_id each get a row; equal texts share a
@@ -269,7 +270,8 @@ def _open_lists(lists, roots):
     rows = rows.withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q"))
     mixed = materialize(mixed.where("p <> q").select("shingle"), "mixed")
-    return materialize(rows.join(checked_broadcast(mixed), "shingle", "left_semi"), "open")
+    # equal texts of several input partitions have posted the same rows
+    return materialize(rows.join(checked_broadcast(mixed), "shingle", "left_semi").distinct(), "open")
 
 
 def _other_heads(lists, turn):
@@ -335,7 +337,14 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
         f"node_a < node_b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {enough}"
     )
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # shared shingles that are no shared postings lie behind the prefix that ends first, and behind the last shared posting
+    shared = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count("*").alias("times"),
+        *[F.first(f"n_{k}").alias(f"n_{k}") for k in "ab"],
+        *[F.max(f"pos_{k}").alias(f"pos_{k}") for k in "ab"],
+    )
+    behind = f"ceil({percent} * greatest(n_a, n_b) / 100.0) - 1"
+    pairs = shared.where(f"times + least({behind}, n_a - 1 - pos_a, n_b - 1 - pos_b) >= {enough}").select("a", "b")
     links = links.union(_linked(pairs, nodes, texts, size, percent))
 
     roots = components(links)
