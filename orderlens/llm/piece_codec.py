@@ -7,8 +7,8 @@ end become the byte pieces of their UTF-8 form.
 
 No piece of such a vocabulary holds a word mark behind another character (``Pieces`` checks
 it), so merges never cross the place in front of a run of marks. Texts are cut there, and each
-distinct chunk is encoded once per task and cache period. Every chunk that enters the cache is
-compared with the sentencepiece library, all of an Arrow slice in one call, and so is the decoded
+distinct chunk is encoded once per worker and cache period; short chunks keep their agenda as a
+list in place, long ones as a heap. Every chunk that enters the cache is compared with the sentencepiece library, all of an Arrow slice in one call, and so is the decoded
 text of every document with the library's ``decode``. A difference raises an error.
 
 Defined cases: null and empty texts give the end id alone and decode to "". Rows that repeat
@@ -16,6 +16,8 @@ each get their result. An empty table gives an empty result. Other columns are i
 """
 
 import re
+from array import array
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from orderlens.llm.support import slices
 
 MARK = "▁"
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 250_000  # of the newer and of the older half of the cache each
+LISTED = 48  # a longer chunk keeps its agenda as a heap
+NEVER = float("inf")
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -39,7 +43,7 @@ class Pieces:
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         plain = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for i in range(len(names))]
         self.ids = {p: i for i, p in enumerate(names) if plain[i]}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.costs = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(names) if sp.is_byte(i)}
         self.end = sp.eos_id()
         self.surfaces = [
@@ -53,13 +57,41 @@ class Pieces:
 
     def encode_chunk(self, chunk):
         """Piece ids of one chunk, merged by the agenda."""
-        symbols = list(chunk)
-        scores, last = self.scores, len(symbols)
+        symbols = self._merged(list(chunk)) if len(chunk) <= LISTED else self._merged_by_heap(list(chunk))
+        ids = []
+        for s in symbols:
+            known = self.ids.get(s)
+            if known is not None:
+                ids.append(known)
+            else:
+                ids += [self.bytes[b] for b in s.encode()]
+        return ids
+
+    def _merged(self, symbols):
+        """Symbols in the end; the agenda is the list of the costs of all adjacent pairs."""
+        cost = self.costs.get
+        agenda = [cost(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # the leftmost of equal ones
+            symbols[i] = union = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(union + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + union, NEVER)
+        return symbols
+
+    def _merged_by_heap(self, symbols):
+        """Symbols in the end; the agenda is a heap, whose outdated entries are skipped."""
+        costs, last = self.costs, len(symbols)
         agenda = []
         for i in range(last - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, symbols[i] + symbols[i + 1]))
+            cost = costs.get(symbols[i] + symbols[i + 1])
+            if cost is not None:
+                agenda.append((cost, i, i + 1, symbols[i] + symbols[i + 1]))
         heapify(agenda)
         after, before = list(range(1, last + 1)), list(range(-1, last - 1))
         while agenda:
@@ -71,20 +103,15 @@ class Pieces:
             after[i] = k = after[j]
             if k < last:
                 before[k] = i
-                score = scores.get(union + symbols[k])
-                if score is not None:
-                    heappush(agenda, (-score, i, k, union + symbols[k]))
+                cost = costs.get(union + symbols[k])
+                if cost is not None:
+                    heappush(agenda, (cost, i, k, union + symbols[k]))
             h = before[i]
             if h >= 0:
-                score = scores.get(symbols[h] + union)
-                if score is not None:
-                    heappush(agenda, (-score, h, i, symbols[h] + union))
-        ids = []
-        for s in symbols:
-            if s is not None:
-                known = self.ids.get(s)
-                ids += [known] if known is not None else [self.bytes[b] for b in s.encode()]
-        return ids
+                cost = costs.get(symbols[h] + union)
+                if cost is not None:
+                    heappush(agenda, (cost, h, i, symbols[h] + union))
+        return [s for s in symbols if s is not None]
 
     def decode(self, ids):
         """Text of the ids; the mark in front of the first piece is dropped."""
@@ -104,25 +131,37 @@ def chunks_of(text):
 
 
 class ChunkCache(dict):
-    """int32 ids of a chunk as bytes."""
+    """int32 ids of a chunk as bytes; chunks of the older half come back when they are met again."""
 
     def __init__(self, pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
 
     def learn(self, texts):
         """Encode the chunks of ``texts`` that are new and compare them with the library."""
-        new = [c for c in set().union(*texts) if c not in self]
+        needed = set().union(*texts)
+        new = needed - self.keys()
         if len(self) + len(new) > CACHED_CHUNKS:
+            self.older = dict(self)
             self.clear()
-            new = list(set().union(*texts))
-        found = [self.pieces.encode_chunk(c) for c in new]
+            new = needed
+        older = self.older
+        again = new & older.keys()
+        self.update(zip(again, map(older.__getitem__, again)))
+        new = list(new - again)
         # the library puts one mark in front of a text, which is the chunk's first
         wanted = self.pieces.library.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)
-        for chunk, ids, library in zip(new, found, wanted):
+        for chunk, library in zip(new, wanted):
+            ids = self.pieces.encode_chunk(chunk)
             if ids != library and chunk != MARK:  # the library gives no ids for an empty text
                 raise ValueError(f"{chunk!r}: {ids} here, {library} in the library")
-            self[chunk] = np.array(ids, np.int32).tobytes()
+            self[chunk] = array("i", ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def chunk_cache(model):
+    """The cache of a model file; tasks that follow each other in a worker keep it."""
+    return ChunkCache(Pieces(model))
 
 
 def encode_text(text, cache):
@@ -132,8 +171,8 @@ def encode_text(text, cache):
 
 def _encode(model):
     def run(batches):
-        pieces = Pieces(model)
-        cache = ChunkCache(pieces)
+        cache = chunk_cache(model)
+        pieces = cache.pieces
         end = np.array([pieces.end], np.int32).tobytes()
         for part in slices(batches, 128):
             texts = [t or "" for t in part.column("text").to_pylist()]

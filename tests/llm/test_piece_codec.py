@@ -35,6 +35,22 @@ def test_long_chunk():
     assert coded(text) == LIBRARY.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*"etaoinshr", "é", "ing", "漢", "1"]), max_size=20).map("".join))
+def test_list_and_heap_agree(word):
+    assert PIECES._merged(list("▁" + word)) == PIECES._merged_by_heap(list("▁" + word))
+
+
+def test_older_half_of_the_cache(monkeypatch):
+    monkeypatch.setattr(C, "CACHED_CHUNKS", 3)
+    cache = C.ChunkCache(PIECES)
+    for text in ("one two three", "four one", "five six two", "one"):
+        cut = C.chunks_of(text)
+        cache.learn([cut])
+        assert C.encode_text(cut, cache) == b"".join(int(i).to_bytes(4, "little") for i in LIBRARY.encode(text))
+        assert len(cache) <= 4
+
+
 def _check(docs):
     rows = C.digests(C.encode_decode(docs, MODEL)).collect()
     want = []
