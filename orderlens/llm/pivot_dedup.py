@@ -1,14 +1,16 @@
 """Embedding near-dedup with a pivot-permutation index.
 
 PIVOTS reference vectors (their number follows the square root of the table, at least 64 and at
-most MOST_PIVOTS) are drawn from the table. A vector is described by its NEAREST pivots in order.
+most MOST_PIVOTS) are drawn from the table. Of drawn vectors with a cosine of APART or more only one
+stays a pivot: a dense group of near copies, whatever its size, has few pivots, so that its vectors meet
+in one list and the order of their other pivots is not left to chance. A vector is described by its NEAREST pivots in order.
 It is stored in the inverted list of its first pivot and visits the lists of all its NEAREST pivots.
 A visitor and a stored vector that share at least SHARED of their NEAREST pivots are candidates, and
 those with a cosine of at least COSINE, in double precision, link.
 
 Equal vectors are one entry with a number of copies. The stored vectors of a list are cut into blocks
-of about BLOCK, and so are its visitors; every pair of blocks is a group of its own, so no group grows
-with a hot list. A group returns, per vector, how many links it found and one link towards
+of BLOCK to MOST_TILES * BLOCK, and so are its visitors; every pair of blocks is a group of its own,
+compared in tiles of BLOCK, so no group grows with a hot list. All pairs of a hot list are compared. A group returns, per vector, how many links it found and one link towards
 its component within the group: links of large groups of copies are counted, not emitted.
 
 The search finds pairs whose descriptions are close, so a link can be missed; README has the
@@ -34,7 +36,9 @@ COSINE = 0.95
 NEAREST = 12
 SHARED = 2
 MOST_PIVOTS = 4096
+APART = 0.8
 BLOCK = 2048
+MOST_TILES = 8
 _FOUND = "entry long, links long, other long"
 
 
@@ -42,6 +46,16 @@ def pivot_count(rows):
     return int(min(MOST_PIVOTS, max(64, 2 * np.sqrt(rows))))
 
 
+def spread(drawn, apart=APART):
+    """The unit vectors of ``drawn`` without those that an earlier one is as near as ``apart`` to."""
+    free, kept = np.ones(len(drawn), np.bool_), []
+    for i in range(len(drawn)):
+        if free[i]:
+            kept.append(i)
+            free &= drawn @ drawn[i] < apart
+    return drawn[kept]
+
+
 def _described(pivots, nearest):
     """(entry, vector, near): unit vectors and their nearest pivots in order, as int16 bytes."""
 
@@ -88,31 +102,46 @@ def _shared(a, b):
     return marks[: len(a)] @ marks[len(a) :].T
 
 
-def _verified(cosine, shared):
+def _tile(cosine, shared, stored, guests):
+    """(entry, links, other) of some stored vectors of a list against some visitors."""
+    (x, s, near_s, a), (y, g, near_g, b) = stored, guests
+    found = (_shared(near_s, near_g) >= min(shared, near_s.shape[1])) & (s @ g.T >= cosine)
+    i, j = np.nonzero(found)
+    # a pair met in both first lists counts in the smaller one; within one list, once
+    here, own = near_s[i, 0], near_g[j, 0]
+    both = (near_s[i] == own[:, None]).any(1)
+    good = np.where(here == own, x[i] < y[j], ~both | (here < own))
+    i, j = i[good], j[good]
+    return _united(x[i], y[j], b[j], a[i])
+
+
+def _united(x, y, of_x, of_y):
+    """(entry, links, other) of the links x - y: sums of ``of_x`` and ``of_y`` and one link to the root."""
+    ids, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    links = np.bincount(place, np.concatenate([of_x, of_y]), len(ids)).astype(np.int64)
+    root = _roots(place[: len(x)], place[len(x) :], len(ids))
+    return ids, links, ids[root]
+
+
+def _verified(cosine, shared, tile):
     """Links of one group: stored vectors of a list's block against visitors of a block."""
 
+    def parts(rows):
+        for at in range(0, len(rows), tile):
+            some = rows[at : at + tile]
+            near = np.frombuffer(b"".join(some["near"]), np.int16).reshape(len(some), -1)
+            yield some["entry"].to_numpy(), matrix(some["vector"]), near, some["copies"].to_numpy()
+
     def run(group):
-        stored, guests = group[group["home"]], group[~group["home"]]
-        empty = pd.DataFrame({"entry": [], "links": [], "other": []}).astype("int64")
-        if not len(stored) or not len(guests):
-            return empty
-        s, g = matrix(stored["vector"]), matrix(guests["vector"])
-        near_s = np.frombuffer(b"".join(stored["near"]), np.int16).reshape(len(s), -1)
-        near_g = np.frombuffer(b"".join(guests["near"]), np.int16).reshape(len(g), -1)
-        found = (_shared(near_s, near_g) >= min(shared, near_s.shape[1])) & (s @ g.T >= cosine)
-        i, j = np.nonzero(found)
-        # a pair met in both first lists counts in the smaller one; within one list, once
-        here, own = near_s[i, 0], near_g[j, 0]
-        both = (near_s[i] == own[:, None]).any(1)
-        x, y = stored["entry"].to_numpy()[i], guests["entry"].to_numpy()[j]
-        good = np.where(here == own, x < y, ~both | (here < own))
-        x, y, a, b = x[good], y[good], stored["copies"].to_numpy()[i[good]], guests["copies"].to_numpy()[j[good]]
-        if not len(x):
-            return empty
-        ids, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-        links = np.bincount(place, np.concatenate([b, a]), len(ids)).astype(np.int64)
-        root = _roots(place[: len(x)], place[len(x) :], len(ids))
-        return pd.DataFrame({"entry": ids, "links": links, "other": ids[root]})
+        guests = list(parts(group[~group["home"]]))
+        found = [_tile(cosine, shared, s, g) for s in parts(group[group["home"]]) for g in guests]
+        found = [f for f in found if len(f[0])]
+        if not found:
+            return pd.DataFrame({"entry": [], "links": [], "other": []}).astype("int64")
+        entry, links, other = (np.concatenate(f) for f in zip(*found))
+        if len(found) > 1:
+            entry, links, other = _united(entry, other, links, np.zeros_like(links))
+        return pd.DataFrame({"entry": entry, "links": links, "other": other})
 
     return run
 
@@ -133,16 +162,17 @@ def near_duplicates(table, cosine=COSINE, nearest=NEAREST, shared=SHARED, pivots
     chosen = drawn_vectors(comparable, pivots or pivot_count(width["count"]), "pivot")
     if not len(chosen):
         chosen = matrix([bytes(comparable.select("vector").orderBy("entry").first().vector)])
-    chosen = chosen / np.linalg.norm(chosen, axis=1, keepdims=True)
+    chosen = spread(chosen / np.linalg.norm(chosen, axis=1, keepdims=True))
     sent = spark.sparkContext.broadcast(chosen)
     kinds = "entry long, copies long, vector binary, near binary, lists array<int>"
     described = materialize(comparable.mapInArrow(_described(sent, nearest), kinds), "described")
 
     # blocks of a list: by its counts of stored and visiting vectors, one row per pivot
     visits = described.select("entry", F.posexplode("lists").alias("place", "list"))
+    size = F.greatest(F.lit(block), F.least(F.lit(MOST_TILES * block), F.ceil(F.count("*") / MOST_TILES)))
     counts = visits.groupBy("list").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("place") == 0) / block)).cast("int").alias("homes"),
-        F.ceil(F.count("*") / block).cast("int").alias("guests"),
+        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("place") == 0) / size)).cast("int").alias("homes"),
+        F.ceil(F.count("*") / size).cast("int").alias("guests"),
     )
     counts = F.broadcast(materialize(counts, "lists"))  # at most MOST_PIVOTS rows
     placed = described.select("entry", "copies", "vector", "near", F.posexplode("lists").alias("place", "list")).join(counts, "list")
@@ -152,7 +182,7 @@ def near_duplicates(table, cosine=COSINE, nearest=NEAREST, shared=SHARED, pivots
     stored = placed.where("place = 0").select(*fields, F.lit(True).alias("home"), mine.alias("h"), F.explode(F.expr("sequence(0, guests - 1)")).alias("g"))
     guests = placed.select(*fields, F.lit(False).alias("home"), F.explode(F.expr("sequence(0, homes - 1)")).alias("h"), seat.alias("g"))
     groups = stored.unionByName(guests).groupBy("list", "h", "g")
-    found = materialize(groups.applyInPandas(_verified(cosine, shared), _FOUND), "found")
+    found = materialize(groups.applyInPandas(_verified(cosine, shared, block), _FOUND), "found")
 
     links = found.select(F.col("entry").alias("a"), F.col("other").alias("b"))
     counted = found.groupBy("entry").agg(F.sum("links").alias("links"))

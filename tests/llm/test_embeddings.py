@@ -70,3 +70,17 @@ def test_links_against_brute_force(vectors):
 
 def test_dedup_of_an_empty_table(vectors):
     assert P.near_duplicates(vectors[1].limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pivots", [None, 202, 452, 1500])
+def test_links_of_a_third_of_the_rows_that_are_distinct_near_copies(spark, pivots):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(3000, 64))
+    data[::3] = data[0] + rng.normal(size=(1000, 64)) * 0.175  # a cosine of about 0.97
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v, "x") for i, v in enumerate(data.astype(np.float32).tolist())], SCHEMA).repartition(4)
+    true = (data.astype(np.float32).astype(np.float64) @ data.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r for r in P.near_duplicates(frame, pivots=pivots, block=100).collect()}
+    found = np.array([got[i].n_links for i in range(len(data))])
+    assert (found <= true + 1).all() and found.sum() >= 0.9 * true.sum() and true.sum() > 900000
+    assert {got[i].component_id for i in range(0, len(data), 3)} == {0}
