@@ -2,21 +2,26 @@
 
 Codes. A rotation is learnt on a bounded sample of SAMPLE vectors: principal axes, then BITS / width
 random starts turned by alternating fits of codes and rotation, so that the signs of the rotated
-vector lose least. A code has BITS bits in BITS / 8 substrings of one byte.
+vector lose least. A code has BITS bits in BITS / 8 substrings of one byte. Vectors are centred
+before, queries are not: that takes the same number off all inner products of a query.
 
 Index. The table is dealt into blocks of about BLOCK distinct vectors. Within a block every substring
 has an inverted list per byte value. A code within Hamming radius r of a query must agree with it up to
 floor(r / substrings) bits in some substring, so probing all byte values within that distance in every
-substring retrieves every code within r. Those whose full distance is at most r are reranked by their
-inner products in double precision.
+substring retrieves every code within r. Where the lists to probe hold more rows than the block, its
+codes are compared one by one. Codes within r are reranked by their inner products in double precision.
 
-Radius. Each query has its own, set so that about CANDIDATES codes of the whole table lie within; the
-distances to the sample's codes say which one. The number of floats looked at per query thus
-stays the same as the table grows. README has the recall against brute force.
+Radius. A query's first radius in a block is the smallest that holds the block's share of CANDIDATES
+codes, and at least the wanted number, counted over all codes of the block while the probes widen.
+The worst of the best rows found says which angle a row of a given length must have to be better; the
+second radius is the number of bits by which such a row differs, and DEVIATIONS standard deviations more.
+It follows the length of the row (LENGTHS classes), so long rows are found at wider angles, and the
+crowd that a query lives in. A table of any size has this one rule; README has the recall against
+brute force.
 
-Queries are matched with every block (a stated query set against all rows, in blocks). A query
-that finds no more than its wanted number in a block that should hold as many is answered by a full
-look at that block. A table of no more than CANDIDATES rows lies within every radius.
+Queries are matched with every block (a stated query set against all rows, in blocks), and each block
+names as many rows as are wanted, or all it has. A table of no more than CANDIDATES rows lies within
+every radius.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, or are of
 another length than the most common one, take no part. Of equal vectors the smallest wanted + 1
@@ -41,6 +46,8 @@ CANDIDATES = 2500
 BLOCK = 16384
 WANTED = 20
 QUERY_BLOCK = 4096
+DEVIATIONS = 3
+LENGTHS = 64
 _FOUND = "query_id long, vec_id long, score double"
 _BYTES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
@@ -79,31 +86,72 @@ class SubstringIndex:
 
     def __init__(self, coded):
         self.coded = coded
+        self.words = [np.ascontiguousarray(w) for w in coded.view(np.uint64).T]
         self.lists = [np.argsort(coded[:, s], kind="stable") for s in range(coded.shape[1])]
-        self.lengths = [np.bincount(coded[:, s], minlength=256) for s in range(coded.shape[1])]
+        self.lengths = np.array([np.bincount(coded[:, s], minlength=256) for s in range(coded.shape[1])])
+
+    def probed(self, query, reach):
+        """(rows, distances) of all codes that differ from the query's by at most ``reach`` bits in
+        some substring; of all codes, if the lists to probe hold as many."""
+        open_ = _BYTES[query] <= reach
+        if self.lengths[open_].sum() >= len(self.coded):
+            rows, words = np.arange(len(self.coded)), self.words
+        else:
+            met = np.zeros(len(self.coded), np.bool_)
+            for listed, lengths, some in zip(self.lists, self.lengths, open_):
+                met[listed[np.repeat(some, lengths)]] = True
+            rows = np.flatnonzero(met)
+            words = [w[rows] for w in self.words]
+        found = np.zeros(len(rows), np.uint16)
+        for word, own in zip(words, query.view(np.uint64)):
+            found += np.bitwise_count(word ^ own)
+        return rows, found
 
     def within(self, query, radius):
         """Rows whose code is at most ``radius`` from the query's, by pigeonhole probing."""
-        reach = radius // self.coded.shape[1]
-        met = np.zeros(len(self.coded), np.bool_)
-        for s, (rows, lengths) in enumerate(zip(self.lists, self.lengths)):
-            met[rows[np.repeat(_BYTES[query[s]] <= reach, lengths)]] = True
-        rows = np.flatnonzero(met)
-        return rows[distances(query, self.coded[rows]) <= radius]
-
-
-def radius_for(query, sample, share):
-    """Hamming radius that holds about ``share`` of the codes, from the sample's distances."""
-    if share >= 1:
-        return 8 * len(query)  # a small table: everything is within
-    found = distances(query, sample)
-    if share * len(sample) >= 8:
-        return int(np.quantile(found, min(1.0, share)))
-    # too rare for the sample: the tail of a normal distribution with its mean and spread
-    return int(max(0, found.mean() - np.sqrt(2 * np.log(1 / share)) * found.std()))
-
-
-def _search(learnt, sample, share, wanted):
+        rows, found = self.probed(query, radius // self.coded.shape[1])
+        return rows[found <= radius]
+
+    def closest(self, query, least):
+        """Rows within the smallest radius that holds ``least`` codes (all rows, if there are fewer)."""
+        substrings = self.coded.shape[1]
+        for reach in range(9):
+            rows, found = self.probed(query, reach)
+            # every code up to this distance has been probed
+            sure = 8 * substrings if len(rows) == len(self.coded) else substrings * (reach + 1) - 1
+            inside = np.bincount(found, minlength=8 * substrings + 1).cumsum()
+            if inside[sure] >= least or sure >= 8 * substrings:
+                return rows[found <= np.searchsorted(inside, least)]
+
+
+def length_classes(lengths, classes=LENGTHS):
+    """(upper edges, class of each): lengths sorted into classes of about equal numbers."""
+    edges = np.unique(np.quantile(lengths, np.linspace(0, 1, classes + 1)[1:], method="higher"))
+    return edges, np.searchsorted(edges, lengths)
+
+
+def bits_to_beat(score, lengths, bits, deviations=DEVIATIONS):
+    """Bits by which codes of vectors of these ``lengths`` may differ from the code of a query of
+    length 1 if their inner product with it is ``score`` or more; -1 if they are too short for it."""
+    at = score / np.maximum(lengths, 1e-300)
+    turned = np.arccos(np.clip(at, -1, 1)) / np.pi
+    expected = bits * turned + deviations * np.sqrt(bits * turned * (1 - turned))
+    return np.where(at > 1 + 1e-9, -1, np.ceil(expected)).astype(np.int32)
+
+
+def _best(rows, ids, vector, query_id, near, wanted):
+    """(rows, scores): the ``wanted`` best of the rows ``near``, without the query's own."""
+    near = near[ids[near] != query_id]
+    if len(near) > 4 * wanted:
+        rough = rows[near] @ vector
+        least = np.partition(rough, len(near) - wanted)[len(near) - wanted]
+        near = near[rough >= least - 1e-9 * np.abs(rough).max()]
+    score = (rows[near] * vector).sum(1)
+    best = np.lexsort((ids[near], -score))[:wanted]
+    return near[best], score[best]
+
+
+def _search(learnt, share, wanted):
     """Best rows of one index block for one block of queries."""
 
     def run(group):
@@ -112,16 +160,23 @@ def _search(learnt, sample, share, wanted):
         if len(asked) and len(held):
             held = held.sort_values("vec_id")
             rows, ids = matrix(held["vector"]), held["vec_id"].to_numpy()
+            mean, turn = learnt.value
             index = SubstringIndex(codes(rows, learnt.value))
+            edges, sort = length_classes(np.linalg.norm(rows - mean, axis=1))
             questions = matrix(asked["vector"])
-            for query_id, vector, code in zip(asked["vec_id"].to_numpy(), questions, codes(questions, learnt.value)):
-                near = index.within(code, radius_for(code, sample.value, share))
+            least = max(1, int(np.ceil(share * len(rows))))
+            for query_id, vector, code in zip(asked["vec_id"].to_numpy(), questions, codes(questions, (0, turn))):
+                near = index.closest(code, least)
                 if len(near) <= wanted and share * len(rows) >= wanted:
                     near = np.arange(len(rows))
-                score = (rows[near] * vector).sum(1)
-                near, score = near[ids[near] != query_id], score[ids[near] != query_id]
-                best = np.lexsort((ids[near], -score))[:wanted]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near[best]], "score": score[best]}))
+                best, score = _best(rows, ids, vector, query_id, near, wanted)
+                if len(near) < len(rows) and len(best) == wanted:
+                    limits = bits_to_beat((score[-1] - vector @ mean) / np.linalg.norm(vector), edges, turn.shape[1])
+                    wide, found = index.probed(code, max(0, limits.max()) // len(code))
+                    met = np.zeros(len(rows), np.bool_)
+                    met[near] = met[wide[found <= limits[sort[wide]]]] = True
+                    best, score = _best(rows, ids, vector, query_id, np.flatnonzero(met), wanted)
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
@@ -142,8 +197,7 @@ def nearest_neighbours(table, every=20, wanted=WANTED, bits=BITS, candidates=CAN
     sample = drawn_vectors(rows, SAMPLE, "rotation")
     if len(sample) < 2:
         sample = matrix([bytes(r.vector) for r in rows.select("vector").limit(SAMPLE).collect()])
-    learnt = learn_rotation(sample, bits)
-    sent, coded = spark.sparkContext.broadcast(learnt), spark.sparkContext.broadcast(codes(sample, learnt))
+    sent = spark.sparkContext.broadcast(learn_rotation(sample, bits))
 
     same = Window.partitionBy("vector").orderBy("vec_id")
     indexed = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= wanted + 1)
@@ -159,7 +213,7 @@ def nearest_neighbours(table, every=20, wanted=WANTED, bits=BITS, candidates=CAN
     asked = queries.select("vec_id", "vector", F.lit(True).alias("query"), numbers(blocks).alias("block"), part.alias("part"))
     share = min(1.0, candidates / max(1, held))
     groups = index.unionByName(asked).groupBy("block", "part")
-    found = groups.applyInPandas(_search(sent, coded, share, wanted), _FOUND)
+    found = groups.applyInPandas(_search(sent, share, wanted), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= wanted)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -84,3 +84,30 @@ def test_links_of_a_third_of_the_rows_that_are_distinct_near_copies(spark, pivot
     found = np.array([got[i].n_links for i in range(len(data))])
     assert (found <= true + 1).all() and found.sum() >= 0.9 * true.sum() and true.sum() > 900000
     assert {got[i].component_id for i in range(0, len(data), 3)} == {0}
+
+
+def recalls(spark, data, **settings):
+    """Share of the true 20 neighbours found, and rows found, per query."""
+    data = data.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v, "x") for i, v in enumerate(data.tolist())], SCHEMA).repartition(4)
+    found = {i: set() for i in range(0, len(data), 20)}
+    for r in H.nearest_neighbours(frame, every=20, **settings).collect():
+        found[r.query_id].add(r.vec_id)
+    score = data[::20] @ data.T
+    score[np.arange(len(score)), np.arange(0, len(data), 20)] = -np.inf
+    true = np.argsort(-score, axis=1)[:, :20]
+    return np.array([len(found[20 * k] & set(t)) / 20 for k, t in enumerate(true)]), np.array([len(f) for f in found.values()])
+
+
+@pytest.fixture(scope="module")
+def crowded():
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(6000, 64))
+    data[::3] = data[0] + rng.normal(size=(2000, 64)) * 0.175
+    return data / np.linalg.norm(data, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("candidates", [5, 50, 2500])
+def test_recall_beside_a_crowd_for_any_share_of_candidates(spark, crowded, candidates):
+    hit, _ = recalls(spark, crowded, candidates=candidates)
+    assert hit[::3].mean() >= 0.9 and np.delete(hit, np.s_[::3]).mean() >= 0.9
