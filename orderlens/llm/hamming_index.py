@@ -164,11 +164,10 @@ def _search(learnt, share, wanted):
             index = SubstringIndex(codes(rows, learnt.value))
             edges, sort = length_classes(np.linalg.norm(rows - mean, axis=1))
             questions = matrix(asked["vector"])
-            least = max(1, int(np.ceil(share * len(rows))))
+            # a row more than wanted, since one may be the query itself
+            least = max(wanted + 1, int(np.ceil(share * len(rows))))
             for query_id, vector, code in zip(asked["vec_id"].to_numpy(), questions, codes(questions, (0, turn))):
                 near = index.closest(code, least)
-                if len(near) <= wanted and share * len(rows) >= wanted:
-                    near = np.arange(len(rows))
                 best, score = _best(rows, ids, vector, query_id, near, wanted)
                 if len(near) < len(rows) and len(best) == wanted:
                     limits = bits_to_beat((score[-1] - vector @ mean) / np.linalg.norm(vector), edges, turn.shape[1])

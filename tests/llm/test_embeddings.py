@@ -111,3 +111,8 @@ def crowded():
 def test_recall_beside_a_crowd_for_any_share_of_candidates(spark, crowded, candidates):
     hit, _ = recalls(spark, crowded, candidates=candidates)
     assert hit[::3].mean() >= 0.9 and np.delete(hit, np.s_[::3]).mean() >= 0.9
+
+
+def test_every_query_finds_as_many_rows_as_are_wanted(spark, crowded):
+    _, rows = recalls(spark, crowded, candidates=2)
+    assert set(rows) == {20}
