@@ -116,3 +116,10 @@ def test_recall_beside_a_crowd_for_any_share_of_candidates(spark, crowded, candi
 def test_every_query_finds_as_many_rows_as_are_wanted(spark, crowded):
     _, rows = recalls(spark, crowded, candidates=2)
     assert set(rows) == {20}
+
+
+def test_recall_with_unequal_lengths(spark):
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(8000, 64)) * rng.lognormal(0, 0.7, size=(8000, 1))
+    hit, _ = recalls(spark, data, candidates=400)
+    assert hit.mean() >= 0.9
