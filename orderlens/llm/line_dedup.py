@@ -1,17 +1,23 @@
-"""Substring dedup: repeated passages found by hashing short units of each line.
-
-A unit is a sentence of a line: it ends at a line break, behind a word that ends in ``.``, ``!``
-or ``?``, or in front of a capitalised word that follows one in lower case or a comma (a passage pasted into
-the middle of a sentence starts there). Units are normalised (case folded, only letters and
-digits kept) and hashed to 128 bits. Digests are grouped globally; the occurrence in the
-smallest doc_id, and there the first one, is kept. A stretch of units that follow each other and are
-all kept elsewhere is a passage; passages of at least MIN_WORDS words are removed, with their
-offsets in the original text. Shorter stretches (a header line, a licence line) stay.
-
-Defined cases: null, empty and blank texts have no units and are returned as they are. Texts
-without line breaks or full stops are one unit. Rows that repeat a doc_id with the same text
+"""Substring dedup: repeated passages found by hashed windows of words, wherever they begin.
+
+Words are runs of letters and digits, case folded; a character of a script without blanks is a word.
+Of all windows of WINDOW words those with the smallest hash among as many neighbours as a stretch of
+MIN_WORDS words holds are anchors: every stretch of MIN_WORDS words has one, and equal
+stretches have the same, whatever lines, punctuation or case surround them. Anchors are hashed to 128
+bits and grouped globally; the occurrence in the smallest doc_id, and there the first one, is kept.
+An anchor that is kept elsewhere is extended word by word against the kept occurrence, as far as the
+neighbouring anchor must begin (24 bits of each word's hash are compared). Extended anchors that
+touch are a passage; passages of at least MIN_WORDS words are removed, with their offsets in the
+original text and the punctuation behind them. Shorter stretches (a header line, a licence line) stay.
+A stretch is compared with the first occurrence of each of its anchors only.
+
+``repeated_spans`` is the coarser form by whole units: a unit is a sentence of a line that ends at a line
+break, behind a word that ends in ``.``, ``!`` or ``?``, or in front of a capitalised word that follows
+one in lower case or a comma. It loses a passage's edge units where foreign words join them.
+
+Defined cases: null, empty and blank texts have no words and are returned as they are. Rows that repeat a doc_id with the same text
 are one document; their texts lose the same spans. A null doc_id is ranked last and keeps its text.
-An empty table gives an empty result. Other columns are ignored by ``repeated_spans`` and kept by
+An empty table gives an empty result. Other columns are ignored by ``repeated_spans`` and ``shared_passages`` and kept by
 ``without_repeats``.
 """
 
@@ -26,9 +32,14 @@ from pyspark.sql import functions as F
 from orderlens.llm.support import materialize, slices
 
 MIN_WORDS = 40
+WINDOW = 20
 UNITS = "doc_id long, unit int, start int, stop int, words int, high long, low long"
 _NAMES = ["doc_id", "unit", "start", "stop", "words", "high", "low"]
 _CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+|(?<=(?:[^\W\d_A-Z]|[,;:]))[ \t]+(?=[^\W\d_a-z])")
+_SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
+_TAIL = re.compile(r"[^\s\w]*")
+ANCHORS = "doc_id long, at int, high long, low long, before binary, after binary"
 _PLAIN = re.compile(r"[\W_]+")
 
 
@@ -95,9 +106,142 @@ def repeated_spans(docs, min_words=MIN_WORDS):
     return spans.where(F.col("words") >= min_words).drop("stretch")
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, kept for a batch."""
+
+    def __missing__(self, word):
+        found = self[word] = int.from_bytes(hashlib.blake2b(word.encode(errors="replace"), digest_size=8).digest(), "little")
+        return found
+
+
+def words_of(text):
+    """Words of a text as they are compared."""
+    return " ".join(_WORD.findall(text)).lower().split()
+
+
+def _rolled(hashes, window, base):
+    out = np.zeros(len(hashes) - window + 1, np.uint64)
+    for j in range(window):
+        out = out * np.uint64(base) + hashes[j : j + len(out)]
+    return out
+
+
+def anchors_of(texts, window=WINDOW, min_words=MIN_WORDS):
+    """(text, at, high, low, before, after) of the anchors of ``texts``, in order: numbers of the text
+    and of the first word, the digest, and 3 bytes of each word near it on both sides."""
+    cache, size = _Hashes(), min_words - window + 1
+    listed = [words_of(t) if t else [] for t in texts]
+    each = np.array([len(w) for w in listed], np.int64)
+    starts = np.concatenate([[0], np.cumsum(each)])
+    hashes = np.fromiter((cache[w] for x in listed for w in x), np.uint64, starts[-1])
+    if len(hashes) < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
+    of = np.repeat(np.arange(len(texts)), each)
+    high, low = _rolled(hashes, window, 0x9E3779B97F4A7C15), _rolled(hashes, window, 0xC2B2AE3D27D4EB4F)
+    order = (high ^ (high >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    views = np.lib.stride_tricks.sliding_window_view(order, size)
+    whole = np.flatnonzero(of[: len(views)] == of[min_words - 1 : min_words - 1 + len(views)])
+    least = [views[whole[k : k + 65536]].argmin(1) + whole[k : k + 65536] for k in range(0, len(whole), 65536)]
+    at = np.unique(np.concatenate(least)) if least else np.zeros(0, np.int64)
+    text = of[at]
+    near = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()
+    first, last = np.maximum(starts[text], at - size), np.minimum(starts[text + 1], at + window + size)
+    before = [near[3 * a : 3 * b] for a, b in zip(first.tolist(), at.tolist())]
+    after = [near[3 * (a + window) : 3 * b] for a, b in zip(at.tolist(), last.tolist())]
+    return text, (at - starts[text]).astype(np.int32), high[at].view(np.int64), low[at].view(np.int64), before, after
+
+
+def _anchored(window, min_words):
+    def run(batches):
+        for part in slices(batches, 256):
+            ids = part.column("doc_id").to_pylist()
+            texts = [t if i is not None else None for i, t in zip(ids, part.column("text").to_pylist())]
+            text, *rest = anchors_of(texts, window, min_words)
+            ids = np.array([i or 0 for i in ids], np.int64)[text]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), *[pa.array(r, k) for r, k in zip(rest, kinds)]],
+                names=["doc_id", "at", "high", "low", "before", "after"],
+            )
+
+    return run
+
+
+def _equal(a, b):
+    """Number of words at the start of both."""
+    n = min(len(a), len(b)) // 3
+    if a[: 3 * n] == b[: 3 * n]:
+        return n
+    return next(k for k in range(n) if a[3 * k : 3 * k + 3] != b[3 * k : 3 * k + 3])
+
+
+def _extended(window):
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("at"))
+            # from the anchor outwards: bytes turned round on both sides keep words comparable
+            left = [_equal(a[::-1], b[::-1]) for a, b in zip(batch.column("before").to_pylist(), batch.column("before_kept").to_pylist())]
+            right = [_equal(a, b) for a, b in zip(batch.column("after").to_pylist(), batch.column("after_kept").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(at - np.array(left, np.int32), pa.int32()),
+                    pa.array(at + np.array(right, np.int32) + window, pa.int32()),
+                    batch.column("kept_in"),
+                ],
+                names=["doc_id", "first", "last", "kept_in"],
+            )
+
+    return run
+
+
+def _placed(batches):
+    for part in slices(batches, 256):
+        out = []
+        for i, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            found = [m.span() for m in _WORD.finditer(text or "")]
+            for s in spans:
+                if s["last"] <= len(found):  # another text under the same doc_id may be shorter
+                    stop = _TAIL.match(text, found[s["last"] - 1][1]).end()
+                    out.append((i, found[s["first"]][0], stop, s["last"] - s["first"], s["kept_in"]))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        names = ["doc_id", "start", "stop", "words", "kept_in"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+
+def shared_passages(docs, min_words=MIN_WORDS):
+    """(doc_id, start, stop, words, kept_in) for every passage to remove from ``docs``
+    (doc_id, text), as ``repeated_spans`` has them, wherever a passage begins and ends.
+
+    Digests are counted with partial sums first; only anchors whose digest is repeated are written.
+    """
+    window = max(1, min(WINDOW, min_words // 2))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    anchors = docs.mapInArrow(_anchored(window, min_words), ANCHORS)
+    again = anchors.groupBy("high", "low").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    again = materialize(again, "digests")
+    seen = materialize(anchors.join(again, ["high", "low"]), "anchors")
+    kept = seen.groupBy("high", "low").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("k"))
+    kept = materialize(kept.select("high", "low", F.expr("k.doc_id AS kept_in"), F.expr("k.at AS at_kept"), F.expr("k.before AS before_kept"), F.expr("k.after AS after_kept")), "kept")
+    gone = seen.join(kept, ["high", "low"]).where("doc_id > kept_in OR (doc_id = kept_in AND at > at_kept)")
+    gone = gone.select("doc_id", "at", "before", "after", "kept_in", "before_kept", "after_kept")
+    gone = gone.mapInArrow(_extended(window), "doc_id long, first int, last int, kept_in long").distinct()
+    order = Window.partitionBy("doc_id").orderBy("first", "last", "kept_in")
+    gone = gone.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    gone = gone.withColumn("stretch", F.sum(F.expr("int(reach IS NULL OR first > reach)")).over(order))
+    spans = gone.groupBy("doc_id", "stretch").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_set("kept_in")).alias("kept_in")
+    )
+    spans = spans.where(F.col("last") - F.col("first") >= min_words)
+    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last", "kept_in")).alias("spans"))
+    spans = materialize(spans, "passages")
+    found = docs.join(spans, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans")
+    return found.mapInArrow(_placed, "doc_id long, start int, stop int, words long, kept_in array<long>").distinct()
+
+
 def without_repeats(docs, min_words=MIN_WORDS):
     """``docs`` (doc_id, text, n_chars, ...) with the passages cut out and n_chars as it is then."""
-    spans = repeated_spans(docs, min_words)
+    spans = shared_passages(docs, min_words)
     spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     spans = materialize(spans, "spans")
     return cut_spans(docs, spans)

@@ -19,7 +19,7 @@ from orderlens.llm.support import scratch_path, table
 
 
 def op1_substring_dedup(spark, folder):
-    return line_dedup.repeated_spans(table(spark, folder, "documents"))
+    return line_dedup.shared_passages(table(spark, folder, "documents"))
 
 
 def op2_nearest(spark, folder):

@@ -67,3 +67,30 @@ def test_spans_against_brute_force(spark, small):
     flat = sorted((d, s[0][1], s[-1][2], sum(x[3] for x in s)) for d, ss in want.items() for s in ss if sum(x[3] for x in s) >= 40)
     got = sorted((r.doc_id, r.start, r.stop, r.words) for r in L.repeated_spans(docs).collect())
     assert got == flat
+
+
+def test_passage_without_marks_at_its_edges(spark):
+    words = [f"word{i * i % 997}" for i in range(59)]
+    shared = " ".join(words)
+    rows = [(1, f"here the own text of one {shared} goes on and on"), (2, f"Some other beginning with {shared.upper()} ends."), (3, f"before {' '.join(words[:39])} and after")]
+    found = {r.doc_id: r for r in L.shared_passages(frame(spark, rows)).collect()}
+    assert set(found) == {2}
+    assert rows[1][1][found[2].start : found[2].stop] == shared.upper() and (found[2].words, found[2].kept_in) == (59, [1])
+    out = {r.doc_id: r.text for r in L.without_repeats(frame(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "Some other beginning with  ends.", 3: rows[2][1]}
+
+
+def test_passages_of_any_place_and_of_a_script_without_blanks(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for k in range(40):
+        shared = " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(40 + k % 5))
+        if k % 4 == 0:
+            shared = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(45))
+        own = lambda: " ".join(f"q{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 90)))  # noqa: E731, B023
+        rows += [(2 * k, f"{own()} {shared} {own()}"), (2 * k + 1, f"{own()} {shared} {own()}")]
+        want[2 * k + 1] = shared
+    found = {r.doc_id: rows[r.doc_id][1][r.start : r.stop] for r in L.shared_passages(frame(spark, rows)).collect()}
+    assert found == want
