@@ -4,6 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from orderlens.llm import (
+    filter_audit,
     hamming_index,
     jaccard_join,
     line_dedup,
@@ -61,6 +62,10 @@ def op10_warc(spark, folder):
     return warc_archive.page_records(*warc_archive.read_archive(spark, archive))
 
 
+def op11_filter_audit(spark, folder):
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op8_sentencepiece,
         op9_toxicity,
         op10_warc,
+        op11_filter_audit,
     )
 }
 ORACLE = {
@@ -85,5 +91,45 @@ ORACLE = {
             FROM (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
                     sha256(html) AS payload_digest,
                     min(page_id) OVER (PARTITION BY html) AS first_page
-                  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))"""
+                  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))""",
+    "op11_filter_audit": """
+      WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+        FROM documents),
+      failing AS (
+        SELECT doc_id, part,
+          (len(words) < 200)::INTEGER
+          + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INTEGER
+          + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INTEGER
+          + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER
+          + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INTEGER AS fails
+        FROM texts),
+      judged AS (
+        SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic
+        FROM labels GROUP BY doc_id),
+      sets AS (
+        SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+        FROM failing LEFT JOIN judged USING (doc_id) GROUP BY part, fails),
+      letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(letter, bit)),
+      orders AS (
+        SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+          [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+        WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+      steps AS (
+        SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS earlier
+        FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+      counts AS (
+        SELECT part, filter_order, step, bit,
+          sum(CASE WHEN fails & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+          sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+          sum(CASE WHEN fails & bit <> 0 AND fails & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+          sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+          sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+          sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM sets, steps GROUP BY part, filter_order, step, bit)
+      SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+      FROM counts""",
 }
