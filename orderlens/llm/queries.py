@@ -12,6 +12,7 @@ from orderlens.llm import (
     piece_codec,
     pivot_dedup,
     quality_model,
+    token_alignment,
     token_counts,
     toxicity,
     warc_archive,
@@ -66,6 +67,11 @@ def op11_filter_audit(spark, folder):
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_token_alignment(spark, folder):
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.token_alignment(table(spark, folder, "documents"), *paths)
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
@@ -80,6 +86,7 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op9_toxicity,
         op10_warc,
         op11_filter_audit,
+        op13_token_alignment,
     )
 }
 ORACLE = {
