@@ -12,6 +12,7 @@ from orderlens.llm import (
     piece_codec,
     pivot_dedup,
     quality_model,
+    sorted_lists,
     token_alignment,
     token_counts,
     toxicity,
@@ -67,6 +68,10 @@ def op11_filter_audit(spark, folder):
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_top_scores(spark, folder):
+    return sorted_lists.top_scores(table(spark, folder, "embeddings"))
+
+
 def op13_token_alignment(spark, folder):
     paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return token_alignment.token_alignment(table(spark, folder, "documents"), *paths)
@@ -86,6 +91,7 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op9_toxicity,
         op10_warc,
         op11_filter_audit,
+        op12_top_scores,
         op13_token_alignment,
     )
 }
@@ -139,4 +145,15 @@ ORACLE = {
       SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
         (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
       FROM counts""",
+    "op12_top_scores": """
+      WITH whole AS (
+        SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+      scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+        FROM whole AS q, whole AS c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+      SELECT query_id, rank::INTEGER AS rank, vec_id, score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+      WHERE rank <= 5""",
 }
