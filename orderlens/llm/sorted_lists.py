@@ -5,8 +5,8 @@ per component: the values in ascending order and whose they are. For a query eac
 of falling contribution (from its end where the query's component is negative), stretch
 by stretch, down to a common contribution. What has been read gives every vector of the block a
 lower bound (the least of a list for each value not read) and an upper bound (the contribution reached,
-for each). Reading stops when only a few vectors can still reach the k-th best lower bound or the k-th
-best score of earlier blocks; their scores are then computed in full. Nothing is approximate.
+for each). Reading stops when only a few vectors can still reach the k-th best lower bound, or the k-th
+best score of earlier blocks where there is one; their scores are then computed in full. Nothing is approximate.
 
 The lists are built once and written. Queries are sent out in pieces of at most PIECE_ROWS rows and
 PIECE_BYTES bytes; each task meets several blocks and returns at most k rows per query.
@@ -29,8 +29,8 @@ SCALE, EVERY, WANTED = 256, 50, 5
 BLOCK = 2048  # vectors whose lists are kept together; at most 65,536
 PIECE_ROWS, PIECE_BYTES = 16_384, 1 << 25
 # contributions at which reading pauses, in root mean squares of the query's contributions
-PAUSES = (1.0, 0.3, 0.0, -0.15, -0.3, -0.5, -1.0)
-RESOLVED = 128  # so few open vectors are resolved at once
+PAUSES = (0.4, 0.0, -0.15, -0.3, -0.5, -1.0)
+RESOLVED = 256  # so few open vectors are resolved at once
 LISTS = "width long, n long, ids binary, order binary, values binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -103,6 +103,7 @@ class Block:
         self.middle = np.round(self.values.mean(1))
         self.values -= self.middle[:, None]
         self.squares = (self.values**2).mean(1)
+        self.ends = self.values[:, [0, -1]]
 
     def pauses(self, queries):
         """Places at which reading pauses: (query, pause, list), and the contributions reached there.
@@ -124,29 +125,33 @@ class Block:
         """(scores, ids) of the best rows with a score of ``floor`` or more; also the number of values read."""
         used = np.flatnonzero(query)
         factor, ahead = query[used].astype(np.float64), query[used] > 0
-        least = factor * np.where(ahead, self.values[used, 0], self.values[used, -1])
-        scale = np.abs(factor) @ np.abs(self.values[used][:, [0, -1]]).max(1)
-        slack = 1e-13 * (scale + np.abs(factor) @ np.abs(self.middle[used]))
+        ends = self.ends[used]
+        least = factor * np.where(ahead, ends[:, 0], ends[:, 1])
         base = factor @ self.middle[used]
-        known, count, unread = np.full(self.n, base), np.zeros(self.n), np.full(self.n, least.sum())
+        slack = 1e-13 * np.abs(factor) @ (np.abs(ends).max(1) + np.abs(self.middle[used]))
+        known, count = np.full(self.n, base), np.zeros(self.n)
+        # scores of earlier blocks bound the k-th best from below; without them the least values do
+        unread = np.full(self.n, least.sum()) if np.isneginf(floor) else None
         at = np.where(ahead, self.n, 0)
         open_, read = self.ids != own, 0
-        stops = [*zip(places[:, used], reached), (np.where(ahead, 0, self.n), None)]
-        for to, level in stops:
-            low, high = np.where(ahead, to, at), np.where(ahead, at, to)
+        for to, level in [*zip(places[:, used], reached), (np.where(ahead, 0, self.n), None)]:
+            low, high = np.minimum(to, at), np.maximum(to, at)
             size = high - low
-            total = int(size.sum())
-            if total:
-                flat = np.repeat(low + used * self.n - (np.cumsum(size) - size), size) + np.arange(total)
-                whose, factors = self.order.ravel()[flat], np.repeat(factor, size)
-                known += np.bincount(whose, self.values.ravel()[flat] * factors, self.n)
-                unread -= np.bincount(whose, np.repeat(least, size), self.n)
+            if size.any():
+                stretches = list(zip(used.tolist(), low.tolist(), high.tolist()))
+                whose = np.concatenate([self.order[i, a:b] for i, a, b in stretches])
+                gained = np.concatenate([self.values[i, a:b] for i, a, b in stretches])
+                gained *= np.repeat(factor, size)
+                known += np.bincount(whose, gained, self.n)
                 count += np.bincount(whose, minlength=self.n)
-                at, read = to, read + total
+                if unread is not None:
+                    unread -= np.bincount(whose, np.repeat(least, size), self.n)
+                at, read = to, read + len(whose)
+            if unread is not None:
+                lower = (known + unread)[open_]
+                if len(lower) > wanted:
+                    floor = max(floor, np.partition(lower, len(lower) - wanted)[len(lower) - wanted] - slack)
             upper = known if level is None else known + (len(used) - count) * level
-            lower = (known + unread)[open_]
-            if len(lower) > wanted:
-                floor = max(floor, np.partition(lower, len(lower) - wanted)[len(lower) - wanted] - slack)
             open_ &= upper + slack >= floor
             if np.count_nonzero(open_) <= RESOLVED:
                 break
