@@ -1,24 +1,16 @@
 """Exact order statistics from value counts.
 
 Rows are counted per (group, value) first, so a hot group or value is combined
-before the shuffle and no task ever holds the rows of a group. Running counts
-are built in two levels: values fall into slices of a fixed, order-preserving
-grid; slice totals are summed along the grid (a bounded number of rows per
-group) and values are summed inside their slice.
+before the shuffle and no task ever holds the rows of a group. The counts are
+sorted by range and written once; each sort partition sums its own stretch of a
+group, and the stretches before it give the offset. How the values lie does not
+matter: Spark draws the ranges from the counts themselves.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# GRID slices per unit of ln(1 + |value| / FINE): fewer than 400,000 exist for all doubles
-GRID = 256
-FINE = "1e-4D"
-
-
-def _slice(value):
-    """Slice number; never null, so that joins on it add no filter below shared exchanges."""
-    steps = f"signum(double(`{value}`)) * floor(log1p(abs(double(`{value}`)) / {FINE}) * {GRID})"
-    return F.expr(f"coalesce(int({steps}), 0)")
+from orderlens.operators.positions import sorted_slots
 
 
 def tally(df, groups, value):
@@ -30,31 +22,39 @@ def tally(df, groups, value):
     return kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sorted_counts(counts, groups, value):
+    """Value counts sorted by (groups, value) and written; frames that are so already stay."""
+    if "_part" in counts.columns:
+        return counts
+    return sorted_slots(counts, [*groups, value], "value-counts").drop("_slot")
+
+
 def cumulate(counts, groups, value, n="n", wanted=None):
     """Add ``before`` (rows of the group with a smaller value) and ``total`` to value counts.
 
-    ``wanted(first, last, total)`` may name the 0-based ranks of interest: slices that
-    hold none of them are dropped before the values are sorted.
+    ``wanted(first, last, total)`` may name the 0-based ranks of interest: sort partitions
+    that hold none of them are left out.
     """
     groups = list(groups)
-    sliced = counts.withColumn("_slice", _slice(value))
-    steps = sliced.groupBy(*groups, "_slice").agg(F.sum(n).alias("_rows"))
-    grid = Window.partitionBy(*groups)
-    steps = steps.select(
+    stored = sorted_counts(counts, groups, value)
+    # one row per sort partition and group in it
+    stretches = stored.groupBy("_part", *groups).agg(F.sum(n).alias("_rows"))
+    of_group = Window.partitionBy(*groups)
+    stretches = stretches.select(
+        "_part",
         *groups,
-        "_slice",
-        (F.sum("_rows").over(grid.orderBy("_slice")) - F.col("_rows")).alias("_base"),
+        (F.sum("_rows").over(of_group.orderBy("_part")) - F.col("_rows")).alias("_base"),
         "_rows",
-        F.sum("_rows").over(grid).alias("total"),
+        F.sum("_rows").over(of_group).alias("total"),
     )
     if wanted is not None:
         first = F.col("_base")
-        steps = steps.filter(wanted(first, first + F.col("_rows") - 1, F.col("total")))
-    inside = Window.partitionBy(*groups, "_slice").orderBy(value)
+        stretches = stretches.filter(wanted(first, first + F.col("_rows") - 1, F.col("total")))
+    stretch = Window.partitionBy("_part", *groups).orderBy(value)
     return (
-        sliced.join(steps, [*groups, "_slice"])
-        .withColumn("before", F.col("_base") + F.sum(n).over(inside) - F.col(n))
-        .drop("_slice", "_base", "_rows")
+        stored.join(stretches, ["_part", *groups])
+        .withColumn("before", F.col("_base") + F.sum(n).over(stretch) - F.col(n))
+        .drop("_part", "_base", "_rows")
     )
 
 
@@ -105,6 +105,7 @@ def average_ranks(counts, groups, value, n="n"):
 
 def box_stats(counts, groups, value):
     """Quartiles, 1.5 IQR whiskers and the number of points beyond them, per group of a tally."""
+    counts = sorted_counts(counts, groups, value)
     quarts = quantiles(counts, groups, value, [0.25, 0.5, 0.75])
     quarts = quarts.select(
         *groups, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")

@@ -14,7 +14,8 @@ from orderlens.scratch import materialize
 INDEX_BITS = 33
 
 
-def _sorted_slots(df, keys, label):
+def sorted_slots(df, keys, label):
+    """``df`` sorted by range and written, with ``_part`` (sort partition) and ``_slot`` (place in it)."""
     stored = materialize(
         df.orderBy(*keys).withColumn("_slot", F.monotonically_increasing_id()), label
     )
@@ -26,7 +27,7 @@ def number_rows(df, keys, into="row_id", total_into="n_rows"):
 
     ``keys`` should end in a unique column. They may be sort expressions.
     """
-    stored = _sorted_slots(df, keys, "positions")
+    stored = sorted_slots(df, keys, "positions")
     by_part = Window.orderBy("_part")  # one row per sort partition
     before = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select(
@@ -50,7 +51,7 @@ def number_within(df, group, keys, into="row_id", total_into="n_rows"):
     of their other stretches added.
     """
     g = F.col(group)
-    stored = _sorted_slots(df, [g, *keys], "grouped-positions")
+    stored = sorted_slots(df, [g, *keys], "grouped-positions")
     stretch = Window.partitionBy("_part", group)
     local = stored.withColumn("_i", F.row_number().over(stretch.orderBy("_slot"))).withColumn(
         "_m", F.count(F.lit(1)).over(stretch)

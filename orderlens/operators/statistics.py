@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.tails import chi2_sf, correlation_p, normal_sf
 from orderlens.operators.histograms import average_ranks
+from orderlens.scratch import materialize
 
 
 def pearson_pairs(df, columns):
@@ -43,17 +44,23 @@ def spearman(df, features, target):
         f"struct('{f}' as feature, double(`{f}`) as x, `{target}` as y)" for f in features
     )
     long = df.selectExpr(f"inline(array({cells}))")
-    joint = (
+    joint = materialize(
         long.filter("x is not null and y is not null")
         .groupBy("feature", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "value-pairs",
     )
+    # both sides are ranked together: one sort of their value counts
+    sides = "inline(array(struct('x' as side, x as v, n), struct('y' as side, double(y) as v, n)))"
+    margins = joint.selectExpr("feature", sides)
+    margins = margins.groupBy("feature", "side", "v").agg(F.sum("n").alias("n"))
+    ranked = average_ranks(margins, ["feature", "side"], "v")
+    middle = (F.col("total") + 1) / 2.0
 
     def ranks(side):
-        margin = joint.groupBy("feature", side).agg(F.sum("n").alias("n"))
-        ranked = average_ranks(margin, ["feature"], side)
-        middle = (F.col("total") + 1) / 2.0
-        return ranked.select("feature", side, (F.col("avg_rank") - middle).alias(f"r{side}"))
+        value = F.col("v").cast(joint.schema[side].dataType).alias(side)
+        rows = ranked.filter(F.col("side") == side)
+        return rows.select("feature", value, (F.col("avg_rank") - middle).alias(f"r{side}"))
 
     placed = joint.join(ranks("x"), ["feature", "x"]).join(ranks("y"), ["feature", "y"])
     n = F.col("n")
@@ -111,10 +118,11 @@ def mann_whitney_greater(df, value, first, second):
 
 def kruskal_wallis(df, value, group):
     """Tie-corrected Kruskal-Wallis H over the groups present: (n, groups, h, p_value)."""
-    cells = (
+    cells = materialize(
         df.dropna(subset=[value, group])
         .groupBy(F.col(value).alias("v"), F.col(group).alias("g"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c")),
+        "value-groups",
     )
     margin = average_ranks(cells.groupBy("v").agg(F.sum("c").alias("n")), [], "v")
     per_group = (

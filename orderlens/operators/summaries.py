@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orderlens.operators.histograms import quantiles
+from orderlens.operators.histograms import quantiles, sorted_counts
 
 # every value 0 .. MODULUS-1 is hit once by key * STEP mod MODULUS: a cheap fixed shuffle of keys
 STEP, MODULUS = 48271, 2147483647
@@ -24,7 +24,9 @@ def describe(df, columns, probs=(0.25, 0.5, 0.75)):
     """Count, mean, sample deviation, min, exact quantiles and max of numeric columns."""
     cells = ", ".join(f"struct('{c}' as column, double(`{c}`) as v)" for c in columns)
     long = df.selectExpr(f"inline(array({cells}))").filter("v is not null")
-    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted_counts(
+        long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")), ["column"], "v"
+    )
     v, n = F.col("v"), F.col("n")
     moments = counts.groupBy("column").agg(
         F.sum("n").alias("count"),

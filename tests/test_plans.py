@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import summaries
+from orderlens.operators import histograms, summaries
 from orderlens.plans import drivers, exploration, master
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
@@ -59,11 +59,31 @@ def test_no_nested_loops_and_no_python(stored):
         assert found == []
 
 
-def test_value_counts_are_shuffled_once(stored):
+def test_rank_tests_read_the_rows_once(stored):
+    """Ranks and sums come from written value counts, not from the order tables."""
     reviewed = master.reviewed(master.master_notebook(stored))
     text = plan(drivers.spearman_scores(reviewed), run=True)
-    assert len(re.findall(r"FileScan", text)) == 6  # each of the six tables once
-    assert "ReusedExchange" in text
+    scanned = re.findall(r"Location: \w+[^\[]*\[[^\]]*/([\w-]+)-[0-9a-f]{32}\]", text)
+    assert set(scanned) == {"value-pairs", "value-counts"}
+    assert len(scanned) == len(re.findall("FileScan", text))
+
+
+def test_narrow_values_are_spread(spark):
+    """A million distinct values between 1000 and 1001: no stretch holds more than a few percent."""
+    df = spark.range(1_000_000).select((1000 + F.col("id") / 1e6).alias("v"), F.lit(1).alias("n"))
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    old = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("64", "false")):
+            spark.conf.set(name, value)
+        counts = histograms.sorted_counts(df, [], "v")
+        sizes = [r["count"] for r in counts.groupBy("_part").count().collect()]
+        row = histograms.quantiles(counts, [], "v", [0.25, 0.5]).collect()[0]
+    finally:
+        for name, value in zip(names, old):
+            spark.conf.set(name, value)
+    assert len(sizes) > 50 and max(sizes) < 40_000 and sum(sizes) == 1_000_000
+    assert (row["q0"], row["q1"]) == pytest.approx((1000.24999975, 1000.4999995), abs=1e-9)
 
 
 def test_group_samples_are_cut_before_the_shuffle(spark):
