@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions.scalars import half_even
-from orderlens.operators import histograms, quality, summaries
+from orderlens.operators import histograms, quality, samples, summaries
 from orderlens.operators.positions import number_rows
 from orderlens.operators.statistics import correlations_of, pearson_pairs
 from orderlens.plans import drivers, evaluation, exploration, master, retention, rfm
@@ -34,7 +34,7 @@ def fixed(df, places=8):
 
 
 def _by_key(key):
-    return summaries.scattered(F.col(key), SEED)
+    return samples.scattered(F.col(key), SEED)
 
 
 def _reviewed(t):
@@ -305,6 +305,7 @@ QUERIES = {
     ),
     "delay_histogram": lambda t: fixed(drivers.delay_histogram(master.master_notebook(t)), 6),
     "delay_sample": lambda t: drivers.delay_sample(_reviewed(t), by=_by_key("order_id")),
+    "delay_sample_500": lambda t: drivers.delay_sample(_reviewed(t), 500, _by_key("order_id")),
     # customers
     "base_summary": base_summary,
     "rfm_metrics": lambda t: rfm.rfm_metrics(master.master_notebook(t)),
@@ -323,6 +324,9 @@ QUERIES = {
     "stratified_sample": lambda t: fixed(
         rfm.stratified_sample(_rfm(t), by=_by_key("customer_unique_id")), 4
     ),
+    "stratified_sample_100": lambda t: fixed(
+        rfm.stratified_sample(_rfm(t), 100, _by_key("customer_unique_id")), 4
+    ),
     "clipped_monetary": lambda t: fixed(rfm.clipped_monetary(_rfm(t)), 4),
     "recency_box_by_segment": segment_box("recency"),
     "spend_box_by_segment": segment_box("monetary_clipped"),

@@ -761,9 +761,10 @@ BODIES["delay_histogram"] = _bins(
     "quantile_cont(delivery_delay_days::DOUBLE, 0.99) AS b FROM x_master)",
     6,
 )
-BODIES["delay_sample"] = """
+for _name, _n in (("delay_sample", 5000), ("delay_sample_500", 500)):
+    BODIES[_name] = f"""
   SELECT order_id, delivery_delay_days, delivery_days, review_score FROM x_rev
-  ORDER BY ((order_id + 42) * 48271) % 2147483647, order_id LIMIT 5000"""
+  ORDER BY ((order_id + 42) * 48271) % 2147483647, order_id LIMIT {_n}"""
 
 BODIES["base_summary"] = """
   SELECT count(*) AS n_orders, count(DISTINCT customer_unique_id) AS n_customers,
@@ -809,12 +810,13 @@ BODIES["m_by_f"] = """
   SELECT "F_score", round_even((avg("M_score") * 1e3)::DOUBLE, 0) / 1e3 AS mean,
     round_even((stddev_samp("M_score") * 1e3)::DOUBLE, 0) / 1e3 AS std, count("M_score") AS count
   FROM x_rfm GROUP BY "F_score" """
-BODIES["stratified_sample"] = f"""
+for _name, _n in (("stratified_sample", 600), ("stratified_sample_100", 100)):
+    BODIES[_name] = f"""
   SELECT {RFM_COLUMNS}, round(least(monetary, (SELECT quantile_cont(monetary, 0.95) FROM x_rfm)), 4)
       + 0e0 AS monetary_clipped
   FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY {SCATTER}, customer_unique_id) AS i
         FROM x_rfm)
-  WHERE i <= 600"""
+  WHERE i <= {_n}"""
 BODIES["clipped_monetary"] = f"""
   SELECT {RFM_COLUMNS}, round(least(monetary, (SELECT quantile_cont(monetary, 0.95) FROM x_rfm
       WHERE segment <> 'Others')), 4) + 0e0 AS monetary_clipped

@@ -1,17 +1,11 @@
-"""Frequency tables, descriptive statistics, ranked extracts and samples."""
+"""Frequency tables, descriptive statistics and ranked extracts."""
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderlens.operators.histograms import quantiles, sorted_counts
 
-# every value 0 .. MODULUS-1 is hit once by key * STEP mod MODULUS: a cheap fixed shuffle of keys
-STEP, MODULUS = 48271, 2147483647
-SALTS = 64
-
-
 def frequency(df, column, keep_null=False):
     """Count and percent of each value."""
     rows = df if keep_null else df.filter(F.col(column).isNotNull())
@@ -60,28 +54,6 @@ def stack(*frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def scattered(key, seed=42):
-    """Fixed pseudo-random order of integer keys; text keys are hashed first."""
-    return F.pmod((F.pmod(key, F.lit(MODULUS)) + seed) * F.lit(STEP), F.lit(MODULUS))
-
-
-def sample_exact(df, n, key, by=None):
-    """Exactly min(n, rows) rows, fixed by the key values."""
-    by = scattered(F.xxhash64(key)) if by is None else by
-    return df.withColumn("_by", by).orderBy("_by", key).limit(n).drop("_by")
-
-
-def sample_per_group(df, n, group, key, by=None):
-    """At most n rows of each group. Groups are thinned in salted parts first, so the
-    last step sees at most SALTS * n rows of a group of any size."""
-    by = scattered(F.xxhash64(key)) if by is None else by
-    rows = df.withColumn("_by", by).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    for keys in ([group, "_salt"], [group]):
-        order = Window.partitionBy(*keys).orderBy("_by", key)
-        rows = rows.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= n)
-    return rows.drop("_by", "_salt", "_i")
-
-
 def label_order(column, labels):
     """Sort key for a fixed list of labels; others come last."""
     key = F.lit(len(labels))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from orderlens.functions.scalars import clip, days_floor, half_even, sum_money, to_cents
 from orderlens.operators.histograms import quantile_scalar, quantiles, tally
 from orderlens.operators.positions import quintile_score
-from orderlens.operators.summaries import label_order, lookup_frame, sample_per_group
+from orderlens.operators.samples import sample_per_group
+from orderlens.operators.summaries import label_order, lookup_frame
 from orderlens.scratch import materialize
 
 # fixed values: segment names in reporting order, and the action texts per segment

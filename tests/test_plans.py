@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import histograms, summaries
+from orderlens.operators import histograms, samples, summaries
 from orderlens.plans import drivers, exploration, master
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
@@ -86,10 +86,12 @@ def test_narrow_values_are_spread(spark):
     assert (row["q0"], row["q1"]) == pytest.approx((1000.24999975, 1000.4999995), abs=1e-9)
 
 
-def test_group_samples_are_cut_before_the_shuffle(spark):
-    df = spark.range(100).withColumn("g", F.col("id") % 3)
-    text = plan(summaries.sample_per_group(df, 5, "g", "id"))
-    assert re.search(r"WindowGroupLimit.*Partial", text)
+def test_samples_are_cut_by_a_comparison(spark):
+    """No sort, window or limit over the rows: each is compared with the cut of its group."""
+    df = spark.range(10_000).withColumn("g", F.col("id") % 3)
+    for sampled in (samples.sample_per_group(df, 500, "g", "id"), samples.sample_exact(df, 500, "id")):
+        text = plan(sampled, run=True)
+        assert "Join" in text and not re.search(r"Window|TakeOrdered|Limit|Sort ", text)
 
 
 def test_top_k_needs_no_full_sort(spark):

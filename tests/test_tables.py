@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import quality, summaries
+from orderlens.operators import quality, samples, summaries
 from orderlens.plans import evaluation, master, retention, rfm
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
@@ -80,10 +80,10 @@ def test_profile_exact_and_approximate(spark):
 
 def test_samples_are_exact_and_fixed(spark):
     df = spark.range(1000).withColumn("g", F.when(F.col("id") < 900, "hot").otherwise("cold"))
-    first = {r["id"] for r in summaries.sample_exact(df, 50, "id").collect()}
-    again = {r["id"] for r in summaries.sample_exact(df.repartition(7), 50, "id").collect()}
+    first = {r["id"] for r in samples.sample_exact(df, 50, "id").collect()}
+    again = {r["id"] for r in samples.sample_exact(df.repartition(7), 50, "id").collect()}
     assert len(first) == 50 and first == again
-    sizes = summaries.sample_per_group(df, 200, "g", "id").groupBy("g").count().collect()
+    sizes = samples.sample_per_group(df, 200, "g", "id").groupBy("g").count().collect()
     assert {r["g"]: r["count"] for r in sizes} == {"hot": 200, "cold": 100}
 
 
