@@ -8,25 +8,54 @@ from orderlens.operators.histograms import average_ranks
 from orderlens.scratch import materialize
 
 
-def pearson_pairs(df, columns):
+MOST_COLUMNS = 62  # one bit of a long each
+LOST = 1e-8  # share of a sum of squares that its deviations must have
+
+
+def pearson_pairs(df, columns, centers=None):
     """Pearson correlation of every pair i < j, over the rows where both are present.
 
-    Long form (a, b, n, r); r is null when a column of the pair is constant.
+    One aggregation: rows are grouped by which columns they have, and each group sums the
+    products of all its columns; a pair then adds up the groups that have both. Long form
+    (a, b, n, r); r is null when a column of the pair is constant. ``centers`` gives a value near the
+    mean of a column whose mean is large beside its spread; where sums without it would lose
+    the digits of r, the query fails and says so.
     """
+    if len(columns) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns")
+    span = range(len(columns))
+    middle = [float((centers or {}).get(c, 0.0)) for c in columns]
+    around = df.selectExpr(
+        " + ".join(f"IF(`{c}` IS NULL, 0L, {1 << i}L)" for i, c in enumerate(columns)) + " as held",
+        *[f"coalesce(double(`{c}`) - {m!r}D, 0D) as x{i}" for i, (c, m) in enumerate(zip(columns, middle))],
+    )
+    pairs = [(i, j) for i in span for j in span if i < j]
+    single = [f"{f}(x{i}) as {name}{i}" for i in span for name, f in (("s", "sum"), ("l", "min"), ("h", "max"))]
+    products = [f"sum(x{i} * x{j}) as p{i}_{j}" for i, j in [*pairs, *[(i, i) for i in span]]]
+    sums = around.groupBy("held").agg(*map(F.expr, ["count(1) as n", *single, *products]))
+    # one row per group of columns present and pair, not per row of data
     cells = ", ".join(
-        f"struct('{a}' as a, '{b}' as b, double(`{a}`) as x, double(`{b}`) as y)"
-        for i, a in enumerate(columns)
-        for b in columns[i + 1 :]
+        f"IF(held & {1 << i | 1 << j}L = {1 << i | 1 << j}L, struct({i} as i, {j} as j, n, s{i} as x, s{j} as y, "
+        f"p{i}_{i} as xx, p{j}_{j} as yy, p{i}_{j} as xy, l{i} as xl, h{i} as xh, l{j} as yl, h{j} as yh), NULL)"
+        for i, j in pairs
     )
-    long = df.selectExpr(f"inline(array({cells}))").filter("x is not null and y is not null")
-    sums = long.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.covar_pop("x", "y").alias("_xy"),
-        F.var_pop("x").alias("_xx"),
-        F.var_pop("y").alias("_yy"),
+    named = F.array(*map(F.lit, columns))
+    found = (
+        sums.selectExpr(f"inline(array_compact(array({cells})))")
+        .groupBy("i", "j")
+        .agg(
+            F.sum("n").alias("n"),
+            *[F.sum(c).alias(c) for c in ("x", "y", "xx", "yy", "xy")],
+            F.expr("min(xl) < max(xh) AND min(yl) < max(yh)").alias("varies"),
+        )
+        .withColumn("a", F.get(named, F.col("i")))
+        .withColumn("b", F.get(named, F.col("j")))
     )
-    r = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-    return sums.select("a", "b", "n", r.alias("r"))
+    moments = found.withColumn("dx", F.expr("xx - x * x / n")).withColumn("dy", F.expr("yy - y * y / n"))
+    lost = F.expr(f"dx < xx * {LOST} OR dy < yy * {LOST}")
+    message = F.concat(F.lit("pass centers for the columns "), F.col("a"), F.lit(" and "), F.col("b"))
+    r = F.when(lost, F.raise_error(message).cast("double")).otherwise(F.expr("(xy - x * y / n) / sqrt(dx * dy)"))
+    return moments.select("a", "b", "n", F.when(F.col("varies"), r).alias("r"))
 
 
 def correlations_of(pairs, column):

@@ -72,6 +72,38 @@ def test_pearson_of_a_constant_is_null(spark):
     assert st.pearson_pairs(df, ["x", "y"]).collect()[0]["r"] is None
 
 
+def test_pearson_equals_numpy_under_any_nulls(spark):
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 3
+    data[rng.random(data.shape) < 0.3] = np.nan
+    data[:, 3] = np.where(np.isnan(data[:, 0]), data[:, 3], 7.0)  # constant where the first is present
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in data]
+    got = st.pearson_pairs(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect()
+    assert len(got) == 6
+    for row in got:
+        x, y = (data[:, "abcd".index(row[k])] for k in "ab")
+        both = ~np.isnan(x) & ~np.isnan(y)
+        assert row["n"] == both.sum()
+        if {row["a"], row["b"]} == {"a", "d"}:
+            assert row["r"] is None
+        else:
+            assert row["r"] == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-12)
+
+
+def test_pearson_far_from_zero(spark):
+    df = spark.range(1000).selectExpr("id + 1e13 as x", "id * id as y")
+    with pytest.raises(Exception, match="pass centers"):
+        st.pearson_pairs(df, ["x", "y"]).collect()
+    row = st.pearson_pairs(df, ["x", "y"], {"x": 1e13}).collect()[0]
+    assert row["r"] == pytest.approx(np.corrcoef(np.arange(1000), np.arange(1000) ** 2)[0, 1], abs=1e-10)
+
+
+def test_pearson_explodes_no_rows(spark):
+    df = spark.range(1000).selectExpr("id as x", "id * id as y", "id % 7 as z")
+    text = st.pearson_pairs(df, ["x", "y", "z"])._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Generate") < text.rindex("HashAggregate(keys=[held") and text.count("Generate") == 1
+
+
 def test_spearman_with_ties(spark):
     df = spark.createDataFrame([(1, 3), (2, 3), (2, 1), (5, 0)], "x int, y int")
     row = st.spearman(df, ["x"], "y").collect()[0]
