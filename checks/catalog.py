@@ -94,6 +94,34 @@ def export_receipt(t):
     return summaries.stack(*written)
 
 
+def ordered(df, *keys):
+    """The frame written in a total order and read back with the position of each row."""
+    path = scratch_path(df.sparkSession, "ordered")
+    sinks.write_ordered(df, path, keys)
+    return df.sparkSession.read.parquet(path)
+
+
+def master_ordered(t):
+    columns = ["order_id", "order_purchase_timestamp", "customer_unique_id", "price_total"]
+    keys = [F.col("order_purchase_timestamp"), F.col("order_id")]
+    return ordered(master.master_sql(t).select(*columns), *keys)
+
+
+def retention_ordered(t):
+    ranking = retention.retention_ranking(t)
+    return ordered(ranking, F.col("retention_rank"), F.col("category"))
+
+
+def by_segment(df, *more):
+    return ordered(df, summaries.label_order(F.col("segment"), rfm.SEGMENTS), F.col("segment"), *more)
+
+
+def executive_summary_ordered(t):
+    place = summaries.label_order(F.col("label"), rfm.SEGMENTS)
+    keys = [F.col("panel"), place, F.col("value").desc(), F.col("label")]
+    return ordered(fixed(executive_summary(t)), *keys)
+
+
 def residual_nulls(t):
     return quality.residual_nulls(master.master_notebook(t))
 
@@ -245,6 +273,7 @@ QUERIES = {
     ),
     "master_sql": master.master_sql,
     "master_notebook": master.master_notebook,
+    "master_sql_ordered": master_ordered,
     "negative_flag_counts": lambda t: fixed(
         master.negative_flag_counts(master.master_notebook(t))
     ),
@@ -319,6 +348,7 @@ QUERIES = {
     "frequency_score_share": frequency_score_share,
     "segment_counts": lambda t: fixed(summaries.frequency(_rfm(t), "segment")),
     "segment_summary": lambda t: rfm.segment_summary(_rfm(t)),
+    "segment_summary_ordered": lambda t: by_segment(rfm.segment_summary(_rfm(t))),
     "segment_scores": lambda t: rfm.segment_scores(_rfm(t)),
     "m_by_f": lambda t: rfm.monetary_by_frequency_score(_rfm(t)),
     "stratified_sample": lambda t: fixed(
@@ -336,6 +366,7 @@ QUERIES = {
     "returning_customers": retention.returning_customers,
     "first_orders_with_category": retention.first_orders_with_category,
     "retention_ranking": retention.retention_ranking,
+    "retention_ranking_ordered": retention_ordered,
     "retention_script": retention.retention_script,
     "first_vs_repeat": retention.first_vs_repeat,
     "global_retention": retention.global_retention,
@@ -352,7 +383,9 @@ QUERIES = {
     ),
     "segment_checks": lambda t: evaluation.segment_checks(_rfm(t)),
     "satisfaction_by_segment": lambda t: fixed(satisfaction(t)),
+    "satisfaction_ordered": lambda t: by_segment(fixed(satisfaction(t))),
     "executive_summary": lambda t: fixed(executive_summary(t)),
+    "executive_summary_ordered": executive_summary_ordered,
 }
 
 

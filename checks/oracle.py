@@ -944,3 +944,19 @@ def statement(body):
         open_names |= set(re.findall(r"\bx_\w+", VIEWS[name])) - needed
     defined = ",\n".join(f"{n} AS ({v})" for n, v in VIEWS.items() if n in needed)
     return f"WITH {defined}\n{body}" if defined else body
+
+
+# --- total orders: the position that each row must have -----------------------------------
+
+_by_label = "CASE {0} " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(
+    ("Champions", "Loyal", "New Customers", "At Risk", "Lost", "Others"))) + " ELSE 6 END"
+for _name, _body, _keys in (
+    ("master_sql_ordered", "SELECT order_id, order_purchase_timestamp, customer_unique_id, price_total "
+        "FROM x_master_sql", "order_purchase_timestamp, order_id"),
+    ("retention_ranking_ordered", BODIES["retention_ranking"], "retention_rank, category"),
+    ("segment_summary_ordered", BODIES["segment_summary"], _by_label.format("segment") + ", segment"),
+    ("satisfaction_ordered", BODIES["satisfaction_by_segment"], _by_label.format("segment") + ", segment"),
+    ("executive_summary_ordered", BODIES["executive_summary"],
+        f"panel, {_by_label.format('label')}, value DESC, label"),
+):
+    BODIES[_name] = f"SELECT *, row_number() OVER (ORDER BY {_keys}) AS position FROM ({_body})"
