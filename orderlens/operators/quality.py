@@ -11,11 +11,55 @@ def _one_pass(df, label, value, cells):
     return df.agg(F.expr(f"array({rows})").alias("cells")).selectExpr("inline(cells)")
 
 
+def _whole(column):
+    """A column of whole numbers or dates as a long; None for other types."""
+    kind = column.dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return f"bigint(`{column.name}`)"
+    by_kind = {"boolean": "bigint(int({}))", "date": "bigint(unix_date({}))"}
+    return by_kind[kind].format(f"`{column.name}`") if kind in by_kind else None
+
+
+def _exact_counts(df):
+    """(position, rows, nulls, distinct_values) of every column.
+
+    Whole numbers are counted as bits: one row of the aggregation holds 64 neighbouring values. Other
+    values are counted one by one, in a slot of their type.
+    """
+    types = sorted({c.dataType.simpleString() for c in df.schema if _whole(c) is None})
+    slots = [f"v{i}" for i in range(len(types))]
+
+    def cell(i, column):
+        whole = _whole(column)
+        own = column.dataType.simpleString()
+        word = f"shiftright({whole}, 6) as word, shiftleft(1L, int({whole} & 63)) as bits"
+        filled = [
+            f"{f'`{column.name}`' if t == own else f'cast(null as {t})'} as {slot}"
+            for t, slot in zip(types, slots)
+        ]
+        parts = [word if whole else "cast(null as bigint) as word, cast(null as bigint) as bits", *filled]
+        return f"struct({i} as position, {', '.join(parts)})"
+
+    cells = ", ".join(cell(i, c) for i, c in enumerate(df.schema))
+    values = (
+        df.selectExpr(f"inline(array({cells}))")
+        .groupBy("position", "word", *slots)
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").alias("bits"))
+    )
+    missing = F.expr(" and ".join(f"{slot} is null" for slot in ["word", *slots]))
+    held = F.when(F.col("word").isNotNull(), F.bit_count("bits")).otherwise(F.when(missing, 0).otherwise(1))
+    return values.groupBy("position").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"),
+        F.sum(held).cast("long").alias("distinct_values"),
+    )
+
+
 def column_profile(df, approximate=False):
     """Per column: position, type, nulls, percent null, distinct values.
 
-    The exact form counts (column, value) pairs, combined before the shuffle. The
-    approximate form needs one pass and no shuffle of values.
+    The exact form counts values, combined before the shuffle. The approximate form needs one
+    pass and no shuffle of values.
     """
     if approximate:
         cells = ", ".join(
@@ -25,30 +69,7 @@ def column_profile(df, approximate=False):
         )
         sums = df.agg(F.expr(f"array({cells})").alias("cells")).selectExpr("inline(cells)")
     else:
-        # one slot per column type keeps the values typed; a cell fills the slot of its type
-        types = sorted({c.dataType.simpleString() for c in df.schema})
-        slots = [f"v{i}" for i in range(len(types))]
-
-        def cell(i, column):
-            own = column.dataType.simpleString()
-            filled = [
-                f"{f'`{column.name}`' if t == own else f'cast(null as {t})'} as {slot}"
-                for t, slot in zip(types, slots)
-            ]
-            return f"struct({i} as position, {', '.join(filled)})"
-
-        cells = ", ".join(cell(i, c) for i, c in enumerate(df.schema))
-        values = (
-            df.selectExpr(f"inline(array({cells}))")
-            .groupBy("position", *slots)
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        missing = F.expr(" and ".join(f"{slot} is null" for slot in slots))
-        sums = values.groupBy("position").agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"),
-            F.count_if(~missing).alias("distinct_values"),
-        )
+        sums = _exact_counts(df)
     names = F.lit([c.name for c in df.schema])
     dtypes = F.lit([c.dataType.simpleString() for c in df.schema])
     percent = F.rint(F.col("nulls") / F.col("rows") * 100 * 100.0) / 100.0

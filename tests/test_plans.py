@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.operators import histograms, samples, summaries
-from orderlens.plans import drivers, exploration, master
+from orderlens.plans import drivers, evaluation, exploration, master
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
 from orderlens.sources.tables import read_parquet_tables
@@ -108,3 +108,39 @@ def test_order_id_joins_share_one_partitioning(spark, stored):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert len(re.findall(r"Exchange hashpartitioning\(order_id", text)) == 3
+
+
+def test_a_hot_customer_is_split(spark):
+    """One customer with a third of the reviewed orders: the join deals it to several tasks."""
+    n = 60_000
+    customer = F.when(F.col("id") % 3 == 0, "c0").otherwise(F.concat(F.lit("c"), F.col("id") % 5000))
+    reviewed = spark.range(n).select(
+        F.xxhash64("id").alias("order_id"),
+        customer.alias("customer_unique_id"),
+        (F.col("id") % 2).alias("is_negative_review"),
+        (F.col("id") % 5 + 1).alias("review_score"),
+        F.xxhash64("id", F.lit(1)).alias("delivery_delay_days"),
+    )
+    segment = F.when(F.col("id") == 0, "Loyal").otherwise("Lost")
+    customers = spark.range(5000).select(
+        F.concat(F.lit("c"), "id").alias("customer_unique_id"), segment.alias("segment")
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+    }
+    old = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = evaluation.satisfaction_by_segment(reviewed.repartition(12), customers)
+        text = plan(found, run=True)
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert re.search(r"SortMergeJoin\(skew=true\)", text)
+    sizes = {r["segment"]: r["n_orders"] for r in found.collect()}
+    assert sizes == {"Loyal": n // 3 + sum(i % 5000 == 0 for i in range(n) if i % 3), "Lost": n - sizes["Loyal"]}

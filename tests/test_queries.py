@@ -21,6 +21,13 @@ HOT = [
     "spearman_scores",
     "delay_box_by_score",
     "payment_describe",
+    "satisfaction_by_segment",
+    "executive_summary",
+    "stratified_sample_100",
+    "delay_sample_500",
+    "master_sql_ordered",
+    "eda_pearson",
+    "quality_all_tables",
 ]
 
 

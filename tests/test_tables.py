@@ -78,6 +78,17 @@ def test_profile_exact_and_approximate(spark):
     assert {c: rough[c]["nulls"] for c in "abc"} == {"a": 0, "b": 1, "c": 0}
 
 
+def test_profile_counts_whole_numbers_by_words(spark):
+    rows = [(v, v % 3 == 0 if v % 5 else None, dt.date(1969, 12, 1) + dt.timedelta(v % 90)) for v in range(-200, 200)]
+    ends = [(-(2**63), None, None), (2**63 - 1, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows * 2 + ends, "a bigint, b boolean, c date").withColumn("d", F.expr("tinyint(a % 7)"))
+    df = df.withColumn("t", F.col("c").cast("timestamp_ntz")).withColumn("e", F.lit(None).cast("int"))
+    got = {r["column"]: r for r in quality.column_profile(df).collect()}
+    for c in df.columns:
+        assert got[c]["distinct_values"] == df.select(c).dropna().distinct().count(), c
+        assert got[c]["nulls"] == df.filter(F.col(c).isNull()).count(), c
+
+
 def test_samples_are_exact_and_fixed(spark):
     df = spark.range(1000).withColumn("g", F.when(F.col("id") < 900, "hot").otherwise("cold"))
     first = {r["id"] for r in samples.sample_exact(df, 50, "id").collect()}
