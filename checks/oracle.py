@@ -297,8 +297,14 @@ def _rhos(columns, table="x_rev", target="review_score"):
           SELECT 2 * exp(lgamma((n - 1) / 2e0) - lgamma((n - 2) / 2e0)) / sqrt(pi()) * w / 12000e0
             * sum((CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
                 * pow(greatest(0e0, 1 - pow(abs(rho) + w * k / 4000e0, 2)), (n - 4) / 2e0))
-          FROM range(4001) s(k)) AS p_value
-      FROM (SELECT *, least(1 - abs(rho), 12 / sqrt(n)) AS w
+          FROM range(4001) s(k)) AS p_value, (
+          SELECT greatest(0e0, -(ln(2e0) + lgamma((n - 1) / 2e0) - lgamma((n - 2) / 2e0) - ln(pi()) / 2 + ln(near / 12000e0)
+            + (n - 4) / 2e0 * ln(1 - rho * rho)
+            + ln(sum((CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+                * pow(greatest(0e0, 1 - pow(abs(rho) + near * k / 4000e0, 2)) / (1 - rho * rho), (n - 4) / 2e0)))) / ln(10e0))
+          FROM range(4001) s(k)) AS neg_log10_p
+      FROM (SELECT *, least(1 - abs(rho), 12 / sqrt(n)) AS w,
+              least(1 - abs(rho), 12 / sqrt(n), 60 * (1 - rho * rho) / (n * abs(rho))) AS near
             FROM (SELECT feature, count(*) AS n, corr(rx, ry) AS rho
                   FROM (SELECT feature,
                           rank() OVER (PARTITION BY feature ORDER BY x)
@@ -318,6 +324,15 @@ def _upper_tail(z):
         FROM range(4001) g(k)))"""
 
 
+def _upper_log10(z):
+    """-log10 of the normal upper tail by integrating the density over its value at z."""
+    return f"""(SELECT CASE WHEN {z} < 0 THEN -log10(1 - exp(-{z} * {z} / 2) * s) ELSE ({z} * {z} / 2 - ln(s)) / ln(10e0) END
+        FROM (SELECT 14 / 12000e0 / sqrt(2 * pi())
+          * sum((CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+              * exp(-abs({z}) * (14e0 * k / 4000e0) - pow(14e0 * k / 4000e0, 2) / 2)) AS s
+        FROM range(4001) g(k)))"""
+
+
 def _box(value, groups, table, places=8):
     by = f"PARTITION BY {groups}" if groups else ""
     lead = f"{groups}, " if groups else ""
@@ -464,7 +479,7 @@ CATEGORY_RATES = """
     round(avg(delivery_delay_days), 8) + 0e0 AS avg_delay, round(avg(review_score), 8) + 0e0 AS avg_score
   FROM x_rev WHERE category_en IS NOT NULL GROUP BY category_en HAVING count(*) >= 120"""
 DRIVERS = f"""
-  SELECT feature AS variable, rho AS spearman_rho, p_value,
+  SELECT feature AS variable, rho AS spearman_rho, p_value, neg_log10_p,
     least(1e0, min(p_value * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW
       AND UNBOUNDED FOLLOWING)) AS "p_value_BH"
   FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, feature) AS place
@@ -651,12 +666,14 @@ BODIES["negative_total"] = """
 BODIES["driver_pearson"] = _pairs(HEATMAP, "x_rev")
 BODIES["delay_days_correlation"] = _pairs(["delivery_delay_days", "delivery_days"], "x_rev")
 BODIES["spearman_scores"] = f"""
-  SELECT feature, n, round(rho, 8) + 0e0 AS rho, round(p_value, 8) + 0e0 AS p_value
+  SELECT feature, n, round(rho, 8) + 0e0 AS rho, round(p_value, 8) + 0e0 AS p_value,
+    round(neg_log10_p, 5) + 0e0 AS neg_log10_p
   FROM ({_rhos(FEATURES)})"""
 BODIES["leakage_spearman"] = f"""
   SELECT a.n AS n_all, c.n AS n_clean, round(a.rho, 6) + 0e0 AS rho_all,
     round(c.rho, 6) + 0e0 AS rho_clean, round(a.p_value, 6) + 0e0 AS p_all,
-    round(c.p_value, 6) + 0e0 AS p_clean, a.n - c.n AS n_before_delivery,
+    round(c.p_value, 6) + 0e0 AS p_clean, round(a.neg_log10_p, 5) + 0e0 AS neg_log10_p_all,
+    round(c.neg_log10_p, 5) + 0e0 AS neg_log10_p_clean, a.n - c.n AS n_before_delivery,
     round(c.n / a.n::DOUBLE, 6) + 0e0 AS share_clean,
     round(abs(a.rho / c.rho), 6) + 0e0 AS weakening
   FROM ({_rhos(["delivery_delay_days"])}) a, ({_rhos(["delivery_delay_days"],
@@ -664,7 +681,7 @@ BODIES["leakage_spearman"] = f"""
 BODIES["delay_mann_whitney"] = f"""
   SELECT n1, n2, round(mean1, 6) + 0e0 AS mean1, round(mean2, 6) + 0e0 AS mean2,
     round(u, 6) + 0e0 AS u, round(z, 6) + 0e0 AS z,
-    round({_upper_tail("z")}, 6) + 0e0 AS p_value,
+    round({_upper_tail("z")}, 6) + 0e0 AS p_value, round({_upper_log10("z")}, 5) + 0e0 AS neg_log10_p,
     round(1 - 2 * u / (n1::DOUBLE * n2), 6) + 0e0 AS rank_biserial
   FROM (SELECT *, (u - n1::DOUBLE * n2 / 2 - 5e-1) / sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1
           - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z
@@ -678,7 +695,8 @@ BODIES["delay_mann_whitney"] = f"""
                   FROM (SELECT delivery_delay_days AS v, review_score <= 2 AS low FROM x_rev
                         WHERE review_score <= 2 OR review_score >= 4)))))"""
 BODIES["delivery_kruskal"] = """
-  SELECT n, groups, round(h, 5) + 0e0 AS h, round(exp(-h / 2) * (1 + h / 2), 5) + 0e0 AS p_value
+  SELECT n, groups, round(h, 5) + 0e0 AS h, round(exp(-h / 2) * (1 + h / 2), 5) + 0e0 AS p_value,
+    round((h / 2 - ln(1 + h / 2)) / ln(10e0), 5) + 0e0 AS neg_log10_p
   FROM (SELECT n, groups,
       (12e0 / (n::DOUBLE * (n + 1)) * s - 3e0 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)) AS h
     FROM (SELECT sum(c)::BIGINT AS n, count(*) AS groups, sum(r * r / c) AS s, sum(ties) AS ties
@@ -689,6 +707,7 @@ BODIES["delivery_kruskal"] = """
             GROUP BY g)))"""
 BODIES["driver_table"] = f"""
   SELECT variable, round(spearman_rho, 8) + 0e0 AS spearman_rho, round(p_value, 8) + 0e0 AS p_value,
+    round(neg_log10_p, 5) + 0e0 AS neg_log10_p,
     round("p_value_BH", 8) + 0e0 AS "p_value_BH", "p_value_BH" <= 0.05 AS significant_after_BH,
     round(spearman_rho * spearman_rho, 8) + 0e0 AS "R2"
   FROM ({DRIVERS})"""
@@ -710,6 +729,7 @@ BODIES["driver_actions"] = f"""
 BODIES["driver_effects"] = f"""
   SELECT feature AS driver, round_even((rho * 1e4)::DOUBLE, 0) / 1e4 AS rho,
     round_even((rho * rho * 1e4)::DOUBLE, 0) / 1e4 AS "R2", round(p_value, 8) + 0e0 AS p_value,
+    round(neg_log10_p, 5) + 0e0 AS neg_log10_p,
     CASE WHEN abs(rho) < 0.1 THEN 'Small' WHEN abs(rho) < 0.3 THEN 'Moderate' ELSE 'Large' END
       AS effect_size,
     CASE WHEN p_value < 0.001 THEN 'Yes' ELSE 'No' END AS significant

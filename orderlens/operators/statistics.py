@@ -3,7 +3,15 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.tails import chi2_sf, correlation_p, normal_sf
+from orderlens.functions.tails import (
+    chi2_log_sf,
+    chi2_sf,
+    correlation_log_p,
+    correlation_p,
+    neg_log10,
+    normal_log_sf,
+    normal_sf,
+)
 from orderlens.operators.histograms import average_ranks
 from orderlens.scratch import materialize
 
@@ -68,7 +76,7 @@ def correlations_of(pairs, column):
 
 def spearman(df, features, target):
     """Spearman rho of each feature against one target, ranked inside the pairs
-    where both are present, with the two-sided p-value: (feature, n, rho, p_value)."""
+    where both are present, with the two-sided p-value: (feature, n, rho, p_value, neg_log10_p)."""
     cells = ", ".join(
         f"struct('{f}' as feature, double(`{f}`) as x, `{target}` as y)" for f in features
     )
@@ -100,8 +108,10 @@ def spearman(df, features, target):
         F.sum(n * F.col("ry") * F.col("ry")).alias("_yy"),
     )
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
-    return sums.select("feature", "n", rho.alias("rho")).withColumn(
-        "p_value", correlation_p("rho", "n")
+    return (
+        sums.select("feature", "n", rho.alias("rho"))
+        .withColumn("p_value", correlation_p("rho", "n"))
+        .withColumn("neg_log10_p", neg_log10(correlation_log_p("rho", "n")))
     )
 
 
@@ -140,13 +150,15 @@ def mann_whitney_greater(df, value, first, second):
         sums.withColumn("u", F.col("_r1") - n1 * (n1 + 1) / 2.0)
         .withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, spread))
         .withColumn("p_value", normal_sf("z"))
+        .withColumn("neg_log10_p", neg_log10(normal_log_sf("z")))
         .withColumn("rank_biserial", 1 - F.try_divide(2 * F.col("u"), n1 * n2))
         .drop("_r1", "_ties")
     )
 
 
 def kruskal_wallis(df, value, group):
-    """Tie-corrected Kruskal-Wallis H over the groups present: (n, groups, h, p_value)."""
+    """Tie-corrected Kruskal-Wallis H over the groups present: (n, groups, h, p_value,
+    neg_log10_p)."""
     cells = materialize(
         df.dropna(subset=[value, group])
         .groupBy(F.col(value).alias("v"), F.col(group).alias("g"))
@@ -169,6 +181,7 @@ def kruskal_wallis(df, value, group):
     return (
         sums.withColumn("h", F.try_divide(raw, 1 - F.try_divide(F.col("_ties"), n * n * n - n)))
         .withColumn("p_value", chi2_sf("h", "groups - 1"))
+        .withColumn("neg_log10_p", neg_log10(chi2_log_sf("h", "groups - 1")))
         .drop("_s", "_ties")
     )
 

@@ -61,6 +61,53 @@ def test_correlation_p_limits(spark):
     assert one(spark, tails.correlation_p("r", "n"), r=0.5, n=2.0) is None
 
 
+def log_integral(log_density, width, steps=200_000):
+    """Logarithm of the integral of exp(log_density(x)) over 0..width, by Simpson's rule."""
+    x = np.linspace(0, width, steps + 1)
+    weights = np.where(np.arange(steps + 1) % 2, 4.0, 2.0)
+    weights[[0, -1]] = 1
+    logs = log_density(x)
+    return logs.max() + np.log((weights * np.exp(logs - logs.max())).sum() * width / steps / 3)
+
+
+@pytest.mark.parametrize("z", [-8.0, -1.0, 0.0, 2.0, 3.0, 9.0, 40.0, 300.0, 2e4])
+def test_normal_log_tail(spark, z):
+    density = lambda x: -((abs(z) + x) ** 2) / 2 - math.log(2 * math.pi) / 2
+    tail = log_integral(density, 40 / max(1, abs(z)) if abs(z) > 3 else 14)
+    want = tail if z >= 0 else np.log1p(-np.exp(tail))
+    assert one(spark, tails.normal_log_sf("z"), z=z) == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("dof", [1, 2, 3, 4, 7, 10, 101, 400])
+@pytest.mark.parametrize("factor", [0.5, 1.0, 3.0, 40.0, 1e4])
+def test_chi_square_log_tail(spark, dof, factor):
+    x = dof * factor
+    density = lambda t: (dof / 2 - 1) * np.log(x + t) - (x + t) / 2 - dof / 2 * math.log(2) - math.lgamma(dof / 2)
+    want = log_integral(density, 90 if factor > 1 else 90 + 14 * dof)
+    assert one(spark, tails.chi2_log_sf("x", "dof"), x=x, dof=float(dof)) == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [5.0, 40.0, 3000.0, 9e4, 2e5, 1e7, 1e11])
+@pytest.mark.parametrize("rho", [1e-6, -0.001, 0.05, -0.4, 0.9, 0.99999])
+def test_correlation_log_p(spark, n, rho):
+    a, half = abs(rho), (n - 4) / 2
+    # over y = log of the ratio of the density to its value at rho, where it falls fast
+    front = math.log(2 / math.sqrt(math.pi))
+    gamma = math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2) if n < 1e5 else math.log(n / 2) / 2 - 5 / (4 * n)
+    width = min(1 - a, 60 / max(1.0, half * 2 * a / (1 - a * a)), 14 / math.sqrt(n) if n > 300 else 1)
+    want = front + gamma + log_integral(lambda x: half * np.log1p(-((a + x) ** 2) + 1e-300), width)
+    got = one(spark, tails.correlation_log_p("r", "n"), r=rho, n=n)
+    assert got == pytest.approx(want, rel=1e-6, abs=2e-6)
+
+
+def test_log_tails_agree_with_the_plain_ones(spark):
+    for r in (0.02, 0.1, 0.3):
+        p, log_p = (one(spark, f("r", "n"), r=r, n=900.0) for f in (tails.correlation_p, tails.correlation_log_p))
+        assert math.exp(log_p) == pytest.approx(p, rel=1e-9)
+    assert one(spark, tails.correlation_log_p("r", "n"), r=0.5, n=2.0) is None
+    assert one(spark, tails.neg_log10(tails.correlation_log_p("r", "n")), r=0.0, n=9.0) == 0.0
+
+
 def test_pearson_is_pairwise_complete(spark):
     df = spark.createDataFrame([(1, 2), (2, None), (3, 5), (4, 4)], "x int, y int")
     row = st.pearson_pairs(df, ["x", "y"]).collect()[0]
