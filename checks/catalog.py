@@ -11,7 +11,7 @@ from orderlens.plans import drivers, evaluation, exploration, master, retention,
 from orderlens.scratch import materialize, scratch_path
 from orderlens.sources import sinks
 from orderlens.sources.fixture import fixture_tables
-from orderlens.sources.tables import ingest, load_tables
+from orderlens.sources.tables import RESCUE, ingest, load_tables
 
 SEED = 42
 # labels that the queries attach to drivers, places and segments
@@ -80,6 +80,42 @@ def csv_round_trip(t):
     return load_tables(spark, folder, files, {"orders": t["orders"].schema})[0]["orders"]
 
 
+def bad_orders(t):
+    """A folder with orders.csv, in which some timestamps are no timestamps, and its schema."""
+    spark = t["orders"].sparkSession
+    folder = scratch_path(spark, "bad-csv")
+    key = F.col("order_id")
+    bought = F.when(key % 7 == 0, "not a date").when(key % 11 == 0, "2017-13-45 10:00:00")
+    arrived = F.when(key % 5 == 0, "31/12/2017")
+    text = lambda c: F.col(c).cast("string")
+    changed = t["orders"].withColumns(
+        {
+            "order_purchase_timestamp": bought.otherwise(text("order_purchase_timestamp")),
+            "order_delivered_customer_date": arrived.otherwise(text("order_delivered_customer_date")),
+        }
+    )
+    sinks.write_csv(changed, f"{folder}/orders.csv")
+    return folder, {"orders": t["orders"].schema}
+
+
+def csv_rejects(t):
+    """Ingest report of that folder: rejected values per column."""
+    folder, schemas = bad_orders(t)
+    spark = t["orders"].sparkSession
+    report = ingest(spark, folder, scratch_path(spark, "tables"), schemas=schemas, rescue=True)
+    return report.select("table", "rows", F.explode("rejected").alias("column", "rejected"))
+
+
+def csv_rescued(t):
+    """Rejected values of the stored table, with the order they belong to."""
+    folder, schemas = bad_orders(t)
+    spark = t["orders"].sparkSession
+    target = scratch_path(spark, "tables")
+    ingest(spark, folder, target, schemas=schemas, rescue=True)
+    stored = spark.read.parquet(f"{target}/orders")
+    return stored.select("order_id", F.explode(RESCUE).alias("column", "value"))
+
+
 def export_receipt(t):
     """Master, customer and segment tables exported, with the rows counted during the write."""
     spark = t["orders"].sparkSession
@@ -254,6 +290,8 @@ QUERIES = {
     # loading, writing, quality
     "load_report": load_report,
     "csv_round_trip": csv_round_trip,
+    "csv_rejects": csv_rejects,
+    "csv_rescued": csv_rescued,
     "export_receipt": export_receipt,
     "table_shapes": lambda t: quality.per_table(t, quality.shape),
     "quality_all_tables": lambda t: quality.per_table(t, quality.column_profile),

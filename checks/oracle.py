@@ -505,6 +505,19 @@ _loaded = _all_tables(
 )
 BODIES["load_report"] = _loaded
 BODIES["csv_round_trip"] = "SELECT * FROM x_orders"
+_rescued = """
+  SELECT order_id, 'order_purchase_timestamp' AS "column",
+    CASE WHEN order_id % 7 = 0 THEN 'not a date' ELSE '2017-13-45 10:00:00' END AS value
+  FROM x_orders WHERE order_id % 7 = 0 OR order_id % 11 = 0
+  UNION ALL
+  SELECT order_id, 'order_delivered_customer_date', '31/12/2017' FROM x_orders WHERE order_id % 5 = 0"""
+BODIES["csv_rescued"] = _rescued
+BODIES["csv_rejects"] = f"""
+  SELECT 'orders' AS "table", (SELECT count(*) FROM x_orders) AS rows, c AS "column",
+    (SELECT count(*) FROM ({_rescued}) WHERE "column" = c) AS rejected
+  FROM (VALUES ('order_id'), ('customer_id'), ('order_purchase_timestamp'), ('order_approved_at'),
+    ('order_delivered_carrier_date'), ('order_delivered_customer_date'),
+    ('order_estimated_delivery_date')) v(c)"""
 BODIES["export_receipt"] = """
   SELECT 'master_csv' AS name, count(*) AS rows, 20::INTEGER AS columns FROM x_master
   UNION ALL SELECT 'master', count(*), 20::INTEGER FROM x_master

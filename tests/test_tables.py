@@ -9,7 +9,7 @@ from orderlens.operators import quality, samples, summaries
 from orderlens.plans import evaluation, master, retention, rfm
 from orderlens.scratch import scratch_path
 from orderlens.sources import sinks
-from orderlens.sources.tables import ingest, load_tables, read_parquet_tables, run_script
+from orderlens.sources.tables import RESCUE, ingest, load_tables, read_parquet_tables, run_script
 
 
 def test_csv_load_skips_missing_and_coerces(spark, tmp_path):
@@ -45,6 +45,26 @@ def test_ingest_replaces_and_reports(spark, tmp_path):
     assert read_parquet_tables(spark, target, ["sellers"])["sellers"].count() == 2
 
 
+def test_rejected_values_stay_with_their_line(spark, tmp_path):
+    (tmp_path / "orders.csv").write_text(
+        "order_id,order_purchase_timestamp,extra,order_approved_at\n"
+        "a1,2017-10-02 10:56:33,x,2017-02-30 00:00:00\n"
+        "a2,not a date,y,\n"
+        "a3,25:61,,never\n"
+        "a4,,,2018-01-01 00:00:00\n"
+    )
+    (tmp_path / "sellers.csv").write_text("seller_id,seller_state\ns1,SP\n")
+    target = scratch_path(spark, "rescue")
+    report = {r["table"]: r for r in ingest(spark, str(tmp_path), target, rescue=True).collect()}
+    assert report["orders"]["rejected"] == {"order_purchase_timestamp": 2, "order_approved_at": 2}
+    assert report["sellers"]["rejected"] == {} and report["customers"]["rejected"] is None
+    rows = {r["order_id"]: r for r in spark.read.parquet(f"{target}/orders").collect()}
+    assert rows["a1"][RESCUE] == {"order_approved_at": "2017-02-30 00:00:00"}
+    assert rows["a2"][RESCUE] == {"order_purchase_timestamp": "not a date"} and rows["a2"]["extra"] == "y"
+    assert rows["a3"][RESCUE] == {"order_purchase_timestamp": "25:61", "order_approved_at": "never"}
+    assert rows["a4"][RESCUE] is None and rows["a4"]["order_purchase_timestamp"] is None
+
+
 def test_export_receipt_and_reload(spark):
     folder = scratch_path(spark, "sink")
     df = spark.range(7).withColumn("v", F.col("id") * 2)
