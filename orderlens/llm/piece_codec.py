@@ -18,6 +18,7 @@ each get their result. An empty table gives an empty result. Other columns are i
 import re
 from array import array
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -31,6 +32,7 @@ CACHED_CHUNKS = 250_000  # of the newer and of the older half of the cache each
 LISTED = 48  # a longer chunk keeps its agenda as a heap
 NEVER = float("inf")
 ENCODED = "doc_id long, ids array<int>, decoded string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Pieces:
@@ -115,8 +117,12 @@ class Pieces:
 
     def decode(self, ids):
         """Text of the ids; the mark in front of the first piece is dropped."""
-        text = b"".join(map(self.surfaces.__getitem__, ids))
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+        return shown(b"".join(map(self.surfaces.__getitem__, ids)))
+
+
+def shown(surface):
+    """Text of the joined surfaces of pieces."""
+    return (surface[1:] if surface[:1] == b" " else surface).decode("utf-8", "replace")
 
 
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -131,7 +137,10 @@ def chunks_of(text):
 
 
 class ChunkCache(dict):
-    """int32 ids of a chunk as bytes; chunks of the older half come back when they are met again."""
+    """What a chunk is coded to: its int32 ids as bytes, the same in decimal digits, and its decoded bytes.
+
+    Chunks of the older half come back when they are met again.
+    """
 
     def __init__(self, pieces):
         super().__init__()
@@ -155,7 +164,8 @@ class ChunkCache(dict):
             ids = self.pieces.encode_chunk(chunk)
             if ids != library and chunk != MARK:  # the library gives no ids for an empty text
                 raise ValueError(f"{chunk!r}: {ids} here, {library} in the library")
-            self[chunk] = array("i", ids).tobytes()
+            surface = b"".join(map(self.pieces.surfaces.__getitem__, ids))
+            self[chunk] = (array("i", ids).tobytes(), " ".join(map(str, ids)).encode(), surface)
 
 
 @lru_cache(maxsize=1)
@@ -165,25 +175,32 @@ def chunk_cache(model):
 
 
 def encode_text(text, cache):
-    """int32 ids of a whole text without an end id, as bytes."""
-    return b"".join(map(cache.__getitem__, text)) if text else b""
+    """int32 ids of the chunks of a text without an end id, as bytes."""
+    return b"".join([cache[c][0] for c in text])
+
+
+def _coded(batches, model):
+    """Per slice: its rows, and per text the coded chunks, the int32 ids as bytes and the decoded text."""
+    cache = chunk_cache(model)
+    pieces = cache.pieces
+    end = array("i", [pieces.end]).tobytes()
+    for part in slices(batches, 128):
+        texts = [t or "" for t in part.column("text").to_pylist()]
+        cut = [chunks_of(t) if t else [] for t in texts]
+        cache.learn(cut)
+        chunks = [[cache[c] for c in text] for text in cut]
+        ids = [b"".join([c[0] for c in text]) + end for text in chunks]
+        decoded = [shown(b"".join([c[2] for c in text])) for text in chunks]
+        library = pieces.library.decode([array("i", x).tolist() for x in ids])
+        for text, wanted in zip(decoded, library):
+            if text != wanted:
+                raise ValueError(f"decoded {text[:80]!r} here, {wanted[:80]!r} in the library")
+        yield part, chunks, ids, decoded
 
 
 def _encode(model):
     def run(batches):
-        cache = chunk_cache(model)
-        pieces = cache.pieces
-        end = np.array([pieces.end], np.int32).tobytes()
-        for part in slices(batches, 128):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            cut = [chunks_of(t) if t else [] for t in texts]
-            cache.learn(cut)
-            coded = [encode_text(c, cache) + end for c in cut]
-            lists = [np.frombuffer(c, np.int32).tolist() for c in coded]
-            decoded = [pieces.decode(x) for x in lists]
-            for ids, text, library in zip(lists, decoded, pieces.library.decode(lists)):
-                if text != library:
-                    raise ValueError(f"decoded {text[:80]!r} here, {library[:80]!r} in the library")
+        for part, _, coded, decoded in _coded(batches, model):
             offsets = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays(
@@ -194,12 +211,33 @@ def _encode(model):
     return run
 
 
+def _digested(model):
+    def run(batches):
+        last = str(chunk_cache(model).pieces.end).encode()
+        for part, chunks, coded, decoded in _coded(batches, model):
+            written = [b" ".join([*[c[1] for c in text], last]) for text in chunks]
+            columns = [
+                part.column("doc_id").cast(pa.int64()),
+                pa.array([len(c) // 4 for c in coded], pa.int64()),
+                pa.array([sha256(w).hexdigest() for w in written]),
+                pa.array([sha256(t.encode()).hexdigest() for t in decoded]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return run
+
+
 def encode_decode(docs, model):
     """(doc_id, ids, decoded) for every row of ``docs`` (doc_id, text); ``model``: a file that all
     executors have."""
     return docs.select("doc_id", "text").mapInArrow(_encode(model), ENCODED)
 
 
+def encoded_digests(docs, model):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``, made where the ids are."""
+    return docs.select("doc_id", "text").mapInArrow(_digested(model), DIGESTS)
+
+
 def digests(encoded):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows."""
     return encoded.select(

@@ -51,7 +51,7 @@ def op7_embedding_dedup(spark, folder):
 
 def op8_sentencepiece(spark, folder):
     docs = table(spark, folder, "documents")
-    return piece_codec.digests(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return piece_codec.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_toxicity(spark, folder):

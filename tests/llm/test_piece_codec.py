@@ -59,6 +59,7 @@ def _check(docs):
         text = LIBRARY.decode(ids)
         want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, C.encoded_digests(docs, MODEL).collect()), key=str) == sorted(want, key=str)
 
 
 def test_odd_rows(spark):
