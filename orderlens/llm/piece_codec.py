@@ -149,7 +149,7 @@ class ChunkCache(dict):
     def learn(self, texts):
         """Encode the chunks of ``texts`` that are new and compare them with the library."""
         needed = set().union(*texts)
-        new = needed - self.keys()
+        new = {c for c in needed if c not in self}  # the cache is larger than a slice
         if len(self) + len(new) > CACHED_CHUNKS:
             self.older = dict(self)
             self.clear()
@@ -191,7 +191,7 @@ def _coded(batches, model):
         chunks = [[cache[c] for c in text] for text in cut]
         ids = [b"".join([c[0] for c in text]) + end for text in chunks]
         decoded = [shown(b"".join([c[2] for c in text])) for text in chunks]
-        library = pieces.library.decode([array("i", x).tolist() for x in ids])
+        library = pieces.library.decode([array("i", x).tolist() for x in ids], num_threads=1)
         for text, wanted in zip(decoded, library):
             if text != wanted:
                 raise ValueError(f"decoded {text[:80]!r} here, {wanted[:80]!r} in the library")
