@@ -11,6 +11,7 @@ import statistics
 import time
 
 from checks import catalog
+from orderlens.scratch import scratch_scope
 from orderlens.session import build_session
 
 HEADLINE = [
@@ -32,9 +33,10 @@ HEADLINE = [
 
 
 def timed(name, spark, folder):
-    start = time.perf_counter()
-    catalog.run(name, spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with scratch_scope(spark):
+        start = time.perf_counter()
+        catalog.run(name, spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main():

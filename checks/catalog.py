@@ -18,6 +18,7 @@ SEED = 42
 NOTES = {"delivery_days": "time", "delivery_delay_days": "delay", "n_items": "size"}
 READINGS = {1: "first", 2: "second", 3: "third"}
 STEPS = {1: "step one", 2: "step two", 3: "step three"}
+ACTIONS = {name: f"action {i}" for i, name in enumerate(rfm.SEGMENTS, 1)}
 PROFILES = {"Champions": "A", "Loyal": "B", "New Customers": "C", "At Risk": "D", "Lost": "E"}
 
 
@@ -399,7 +400,7 @@ QUERIES = {
     "clipped_monetary": lambda t: fixed(rfm.clipped_monetary(_rfm(t)), 4),
     "recency_box_by_segment": segment_box("recency"),
     "spend_box_by_segment": segment_box("monetary_clipped"),
-    "segment_actions": lambda t: rfm.segment_actions(_rfm(t)),
+    "segment_actions": lambda t: rfm.segment_actions(_rfm(t), ACTIONS),
     # retention
     "order_sequence": retention.order_sequence,
     "returning_customers": retention.returning_customers,

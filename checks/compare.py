@@ -10,6 +10,7 @@ import time
 import duckdb
 
 from checks import catalog, oracle
+from orderlens.scratch import scratch_scope
 
 # the type a Spark column must have on the SQL side
 TYPES = {
@@ -46,9 +47,10 @@ def canonical(names, rows):
 
 
 def spark_result(name, spark, folder):
-    df = catalog.run(name, spark, folder)
-    types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema}
-    return *canonical(df.columns, [tuple(r) for r in df.collect()]), types
+    with scratch_scope(spark):
+        df = catalog.run(name, spark, folder)
+        types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema}
+        return *canonical(df.columns, [tuple(r) for r in df.collect()]), types
 
 
 def sql_result(name, con):

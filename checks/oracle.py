@@ -861,12 +861,8 @@ BODIES["spend_box_by_segment"] = _box("monetary_clipped", "segment", _named, 6)
 BODIES["segment_actions"] = """
   SELECT a.segment, coalesce(n, 0) AS n_customers, action
   FROM (VALUES
-      ('Champions', 'VIP loyalty program, early access to new products, referrals'),
-      ('Loyal', 'Upsell to premium categories, volume discounts, NPS surveys'),
-      ('New Customers', 'Onboarding email sequence, discount on second order, recommendations'),
-      ('At Risk', 'Urgent reactivation campaign: time-limited coupon, win-back email'),
-      ('Lost', 'Low-cost reactivation campaign or removal from the marketing list'),
-      ('Others', 'Continuous monitoring; classify in the next RFM iteration')) a(segment, action)
+      ('Champions', 'action 1'), ('Loyal', 'action 2'), ('New Customers', 'action 3'),
+      ('At Risk', 'action 4'), ('Lost', 'action 5'), ('Others', 'action 6')) a(segment, action)
     LEFT JOIN (SELECT segment, count(*) AS n FROM x_rfm GROUP BY 1) USING (segment)"""
 
 BODIES["order_sequence"] = "SELECT * FROM x_sequence"

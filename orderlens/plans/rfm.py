@@ -9,16 +9,8 @@ from orderlens.operators.samples import sample_per_group
 from orderlens.operators.summaries import label_order, lookup_frame
 from orderlens.scratch import materialize
 
-# fixed values: segment names in reporting order, and the action texts per segment
+# fixed values: segment names in reporting order
 SEGMENTS = ["Champions", "Loyal", "New Customers", "At Risk", "Lost", "Others"]
-ACTIONS = {
-    "Champions": "VIP loyalty program, early access to new products, referrals",
-    "Loyal": "Upsell to premium categories, volume discounts, NPS surveys",
-    "New Customers": "Onboarding email sequence, discount on second order, recommendations",
-    "At Risk": "Urgent reactivation campaign: time-limited coupon, win-back email",
-    "Lost": "Low-cost reactivation campaign or removal from the marketing list",
-    "Others": "Continuous monitoring; classify in the next RFM iteration",
-}
 
 
 def rfm_metrics(master):
@@ -189,10 +181,10 @@ def clipped_monetary(rfm):
     return named.withColumn("monetary_clipped", clip(F.col("monetary"), high=p95))
 
 
-def segment_actions(rfm):
-    """Recommended action and customer count per segment, zero where a segment is empty."""
+def segment_actions(rfm, actions):
+    """Action and customer count of each segment of ``actions``, zero where a segment is empty."""
     counts = rfm.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
-    actions = lookup_frame(rfm.sparkSession, ACTIONS, "segment", "action")
-    return actions.join(counts, "segment", "left").select(
+    named = lookup_frame(rfm.sparkSession, actions, "segment", "action")
+    return named.join(counts, "segment", "left").select(
         "segment", F.coalesce("n", F.lit(0)).alias("n_customers"), "action"
     )

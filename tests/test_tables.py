@@ -1,13 +1,14 @@
 """Sources, sinks, quality reports, samples and whole-job invariants."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from orderlens.operators import quality, samples, summaries
 from orderlens.plans import evaluation, master, retention, rfm
-from orderlens.scratch import scratch_path
+from orderlens.scratch import materialize, scratch_path, scratch_scope
 from orderlens.sources import sinks
 from orderlens.sources.tables import RESCUE, ingest, load_tables, read_parquet_tables, run_script
 
@@ -160,6 +161,15 @@ def test_quality_of_notebook_summary_order(spark, tables):
     assert panels == sorted(panels) and set(panels) == set("ABCD") and panels.count("C") == 6
 
 
+def test_scratch_is_released_at_the_end_of_a_scope(spark):
+    outer = materialize(spark.range(3), "outer")
+    with scratch_scope(spark):
+        inner = scratch_path(spark, "inner")
+        spark.range(5).write.parquet(inner)
+        assert spark.read.parquet(inner).count() == 5
+    assert not os.path.exists(inner) and outer.count() == 3
+
+
 def test_script_and_frame_agree(spark, tables):
     a = retention.retention_ranking(tables, 3)
     b = retention.retention_script(tables, 3)
