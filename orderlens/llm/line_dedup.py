@@ -16,7 +16,8 @@ break, behind a word that ends in ``.``, ``!`` or ``?``, or in front of a capita
 one in lower case or a comma. It loses a passage's edge units where foreign words join them.
 
 Defined cases: null, empty and blank texts have no words and are returned as they are. Rows that repeat a doc_id with the same text
-are one document; their texts lose the same spans. A null doc_id is ranked last and keeps its text.
+are one document; their texts lose the same spans. Rows that repeat a doc_id with another text are other
+documents, ranked by the hash of their text. A null doc_id is ranked last and keeps its text.
 An empty table gives an empty result. Other columns are ignored by ``repeated_spans`` and ``shared_passages`` and kept by
 ``without_repeats``.
 """
@@ -39,7 +40,7 @@ _CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+|(?<=(?:[^\W\d_A-Z]|[,;:]))[ \t]+(?=[^\W
 _SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _WORD = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
 _TAIL = re.compile(r"[^\s\w]*")
-ANCHORS = "doc_id long, at int, high long, low long, before binary, after binary"
+ANCHORS = "doc_id long, copy long, at int, high long, low long, before binary, after binary"
 _PLAIN = re.compile(r"[\W_]+")
 
 
@@ -158,10 +159,11 @@ def _anchored(window, min_words):
             texts = [t if i is not None else None for i, t in zip(ids, part.column("text").to_pylist())]
             text, *rest = anchors_of(texts, window, min_words)
             ids = np.array([i or 0 for i in ids], np.int64)[text]
+            copies = np.asarray(part.column("copy"))[text]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), *[pa.array(r, k) for r, k in zip(rest, kinds)]],
-                names=["doc_id", "at", "high", "low", "before", "after"],
+                [pa.array(ids), pa.array(copies), *[pa.array(r, k) for r, k in zip(rest, kinds)]],
+                names=["doc_id", "copy", "at", "high", "low", "before", "after"],
             )
 
     return run
@@ -185,11 +187,12 @@ def _extended(window):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("copy"),
                     pa.array(at - np.array(left, np.int32), pa.int32()),
                     pa.array(at + np.array(right, np.int32) + window, pa.int32()),
                     batch.column("kept_in"),
                 ],
-                names=["doc_id", "first", "last", "kept_in"],
+                names=["doc_id", "copy", "first", "last", "kept_in"],
             )
 
     return run
@@ -198,14 +201,13 @@ def _extended(window):
 def _placed(batches):
     for part in slices(batches, 256):
         out = []
-        for i, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+        for i, copy, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "copy", "text", "spans"))):
             found = [m.span() for m in _WORD.finditer(text or "")]
             for s in spans:
-                if s["last"] <= len(found):  # another text under the same doc_id may be shorter
-                    stop = _TAIL.match(text, found[s["last"] - 1][1]).end()
-                    out.append((i, found[s["first"]][0], stop, s["last"] - s["first"], s["kept_in"]))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-        names = ["doc_id", "start", "stop", "words", "kept_in"]
+                stop = _TAIL.match(text, found[s["last"] - 1][1]).end()
+                out.append((i, copy, found[s["first"]][0], stop, s["last"] - s["first"], s["kept_in"]))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        names = ["doc_id", "copy", "start", "stop", "words", "kept_in"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
 
@@ -215,42 +217,54 @@ def shared_passages(docs, min_words=MIN_WORDS):
 
     Digests are counted with partial sums first; only anchors whose digest is repeated are written.
     """
+    return _passages(docs, min_words).drop("copy").distinct()
+
+
+def _copy_of(text):
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def _passages(docs, min_words):
+    """The passages with ``copy``, the hash of the text they are in."""
     window = max(1, min(WINDOW, min_words // 2))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _copy_of("text").alias("copy"))
     anchors = docs.mapInArrow(_anchored(window, min_words), ANCHORS)
     again = anchors.groupBy("high", "low").agg(F.count("*").alias("times")).where("times > 1").drop("times")
     again = materialize(again, "digests")
     seen = materialize(anchors.join(again, ["high", "low"]), "anchors")
-    kept = seen.groupBy("high", "low").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("k"))
-    kept = materialize(kept.select("high", "low", F.expr("k.doc_id AS kept_in"), F.expr("k.at AS at_kept"), F.expr("k.before AS before_kept"), F.expr("k.after AS after_kept")), "kept")
-    gone = seen.join(kept, ["high", "low"]).where("doc_id > kept_in OR (doc_id = kept_in AND at > at_kept)")
-    gone = gone.select("doc_id", "at", "before", "after", "kept_in", "before_kept", "after_kept")
-    gone = gone.mapInArrow(_extended(window), "doc_id long, first int, last int, kept_in long").distinct()
-    order = Window.partitionBy("doc_id").orderBy("first", "last", "kept_in")
+    kept = seen.groupBy("high", "low").agg(F.min(F.struct("doc_id", "copy", "at", "before", "after")).alias("k"))
+    kept = materialize(kept.select("high", "low", F.expr("k.doc_id AS kept_in"), F.expr("k.copy AS copy_kept"), F.expr("k.at AS at_kept"), F.expr("k.before AS before_kept"), F.expr("k.after AS after_kept")), "kept")
+    gone = seen.join(kept, ["high", "low"]).where("struct(doc_id, copy, at) > struct(kept_in, copy_kept, at_kept)")
+    gone = gone.select("doc_id", "copy", "at", "before", "after", "kept_in", "before_kept", "after_kept")
+    gone = gone.mapInArrow(_extended(window), "doc_id long, copy long, first int, last int, kept_in long").distinct()
+    order = Window.partitionBy("doc_id", "copy").orderBy("first", "last", "kept_in")
     gone = gone.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     gone = gone.withColumn("stretch", F.sum(F.expr("int(reach IS NULL OR first > reach)")).over(order))
-    spans = gone.groupBy("doc_id", "stretch").agg(
+    spans = gone.groupBy("doc_id", "copy", "stretch").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_set("kept_in")).alias("kept_in")
     )
     spans = spans.where(F.col("last") - F.col("first") >= min_words)
-    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last", "kept_in")).alias("spans"))
+    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(
+        F.collect_list(F.struct("first", "last", "kept_in")).alias("spans")
+    )
     spans = materialize(spans, "passages")
-    found = docs.join(spans, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans")
-    return found.mapInArrow(_placed, "doc_id long, start int, stop int, words long, kept_in array<long>").distinct()
+    found = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("doc_id", "copy", "text", "spans")
+    return found.mapInArrow(_placed, "doc_id long, copy long, start int, stop int, words long, kept_in array<long>").distinct()
 
 
 def without_repeats(docs, min_words=MIN_WORDS):
     """``docs`` (doc_id, text, n_chars, ...) with the passages cut out and n_chars as it is then."""
-    spans = shared_passages(docs, min_words)
-    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = _passages(docs, min_words).distinct()
+    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     spans = materialize(spans, "spans")
     return cut_spans(docs, spans)
 
 
 def cut_spans(docs, spans):
-    """Rows of ``docs`` without the spans of (_id, _spans array<struct<start, stop>>)."""
+    """Rows of ``docs`` without the spans of (_id, _copy, _spans array<struct<start, stop>>)."""
     columns = docs.columns
-    packed = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("_key"), _copy_of("text").alias("_text_copy"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     # character offsets of Python, which Spark's substring shares
     pieces = (
         "concat_ws('', transform(sequence(0, size(_cut)), i -> CASE"
@@ -258,7 +272,8 @@ def cut_spans(docs, spans):
         " WHEN i = size(_cut) THEN substring(_row.text, _cut[i - 1].stop + 1)"
         " ELSE substring(_row.text, _cut[i - 1].stop + 1, _cut[i].start - _cut[i - 1].stop) END))"
     )
-    joined = packed.join(spans.select("_id", F.array_sort("_spans").alias("_cut")), F.col("_key") == F.col("_id"), "left")
+    cuts = spans.select("_id", "_copy", F.array_sort("_spans").alias("_cut"))
+    joined = packed.join(cuts, (F.col("_key") == F.col("_id")) & (F.col("_text_copy") == F.col("_copy")), "left")
     text = F.expr(f"IF(_cut IS NULL OR _row.text IS NULL, _row.text, {pieces})")
     joined = joined.withColumn("_text", text)
     out = []

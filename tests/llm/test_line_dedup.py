@@ -94,3 +94,13 @@ def test_passages_of_any_place_and_of_a_script_without_blanks(spark):
         want[2 * k + 1] = shared
     found = {r.doc_id: rows[r.doc_id][1][r.start : r.stop] for r in L.shared_passages(frame(spark, rows)).collect()}
     assert found == want
+
+
+def test_texts_that_share_a_doc_id_are_apart(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    other = " ".join(f"own{i}" for i in range(200))
+    docs = frame(spark, [(1, "one " + passage), (2, "two " + passage), (2, other), (3, passage), (3, passage + " three")])
+    cut = sorted((r.doc_id, r.text) for r in L.without_repeats(docs).collect())
+    assert cut == [(1, "one " + passage), (2, other), (2, "two "), (3, ""), (3, " three")]
+    found = sorted((r.doc_id, r.words, r.kept_in) for r in L.shared_passages(docs).collect())
+    assert found == [(2, 60, [1]), (3, 60, [1])]
