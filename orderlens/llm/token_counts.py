@@ -8,7 +8,7 @@ b[:j], that is, if the two encoded together stay as they are. One token per pref
 ``prefix_table`` stores the counts at chunk ends (a chunk is a word with its blank), and
 ``tokens_before`` and ``longest_within`` answer how many tokens a prefix has and how much of a
 text fits into a budget. They look at the stored ends and at the one chunk that the cut falls
-into; no text is encoded again.
+into, which is encoded again for each length tried.
 
 A chunk starts at a single blank between two other characters. The pretokeniser always
 starts a token there and never looks back, so chunks are counted apart and kept in a cache.

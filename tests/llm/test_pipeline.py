@@ -28,5 +28,5 @@ def test_stages_take_effect(spark):
 
 
 def test_every_operator_is_registered():
-    assert {k.split("_")[0] for k in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {k.split("_")[0] for k in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(ORACLE) <= set(QUERIES)
