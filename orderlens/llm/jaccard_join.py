@@ -5,21 +5,23 @@ lower-cased) as 64-bit hashes; a text of fewer words has its whole word sequence
 shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two nodes link when
 100 * shared >= PERCENT * union.
 
-1. ``describe``: one pass over the texts gives set size, node and a bitmap of each text, and the
-   shingles that several texts of one input partition hold. Their sums give the frequent shingles.
-   Only those that at least total / HOT_LIMIT texts hold are kept, so there are never more than
-   HOT_LIMIT of them and they may be broadcast.
-2. ``postings``: shingles are ordered rare first (all others by hash, then the frequent ones from
-   rare to common) and each node posts its prefix, |x| - ceil(t |x|) + 1 shingles. Two linked
-   nodes share a posted shingle whatever the order is, so the order only decides the amount
-   of work. Frequent shingles are dealt over SALTS lists.
-3. Every node is first tested against the list head it shares most postings with, and then, in ROUNDS
-   rounds, nodes of lists that still hold several components against a head of another
-   one. That joins large groups of near copies without looking at all their pairs.
+1. ``describe``: one pass over the texts gives set size, node and a bitmap of each text, and a
+   sketch of the shingles: BUCKETS counters per input partition, each of the texts that hold a shingle
+   of that hash range. The sketches are summed by blocks of counters as a stream, so the sum is a table of
+   fixed size, one byte a counter (eight steps a doubling), and may be broadcast.
+2. ``postings``: shingles are ordered rare first, by counter and then by hash, and each node posts its
+   prefix, |x| - ceil(t |x|) + 1 shingles. Two linked nodes share a posted shingle whatever the order
+   is, so counters shared by several shingles only cost work. A counter never is below the number of texts, so
+   every shingle of HOT_LEAST texts (and HOT_MEANS times the mean counter) is known to be frequent at any
+   partitioning and is dealt over SALTS lists.
+3. Every node is first tested against the list head it shares most postings with, and then, in rounds
+   for as long as a round links one node in ROUND_GAIN of those it tests, nodes of lists that still hold
+   several components against a head of another one. That joins large groups of near copies without
+   looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
    positional filter (once per shared posting, and once on all that a pair shares) and the suffix
-   filter (a bound on the shared shingles from two bitmaps) and are verified once per pair on
-   whole sets. No partner or candidate is capped.
+   filter (a bound on the shared shingles from two bitmaps) and are verified on whole sets. A pair
+   that a step has tested is left out of all later ones. No partner or candidate is capped.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; its
 component is its own doc_id. Rows that repeat a doc_id each get a row; equal texts share a
@@ -28,6 +30,7 @@ gives an empty result. Other columns are ignored, whatever their names.
 """
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +43,17 @@ from orderlens.llm.support import checked_broadcast, materialize, slices
 
 WORDS = 5
 PERCENT = 75
-HOT_LIMIT = 1 << 22  # frequent shingles broadcast, 12 bytes each
-HOT_LEAST = 16  # a shingle of fewer texts is never called frequent
+BUCKETS = 1 << 22  # counters of the sketch, one byte each when broadcast
+BLOCK = 1 << 14  # counters summed in one row
+HOT_LEAST = 1000  # a shingle of fewer texts is never called frequent
+HOT_MEANS = 4
 SALTS = 64
-ROUNDS = 1
-COUNTED_AT_ONCE = 1 << 22  # shingles of one input partition counted together
-CACHED_WORDS = 400_000
+ROUND_GAIN = 20
+CACHED_WORDS = 1 << 17
 
-_DESCRIBED = "doc_id long, n long, node long, bits binary, shingle long, times long"
+_DESCRIBED = "doc_id long, n long, node long, bits binary, block int, counters binary"
 _POSTED = "shingle long, node long, n int, pos int, hot boolean"
+_SHIFT = np.uint64(64 - (BUCKETS - 1).bit_length())
 _EMPTY = np.zeros(0, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,28 +116,26 @@ def _may_link(x, bits_x, y, bits_y, percent):
     return min(x - only_x, y - only_y) >= _needed(x, y, percent)
 
 
+def packed_counters(counts):
+    """Counts as bytes of eight steps a doubling, rounded up."""
+    return zlib.compress(np.ceil(8 * np.log2(1.0 + counts)).clip(0, 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked_counters(packed):
+    return np.exp2(np.frombuffer(zlib.decompress(packed), np.uint8) / 8) - 1
+
+
 def _describe(size):
     def run(batches):
-        hashes, seen, kept, held = WordHashes(), set(), [], 0
-
-        def repeated():
-            values, times = np.unique(np.concatenate(kept), return_counts=True) if kept else (_EMPTY, _EMPTY)
-            many = times > 1
-            n = int(many.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64())] * 3
-                + [pa.nulls(n, pa.binary()), pa.array(values[many].view(np.int64)), pa.array(times[many].astype(np.int64))],
-                names=["doc_id", "n", "node", "bits", "shingle", "times"],
-            )
-
+        hashes, seen, counts = WordHashes(), set(), np.zeros(BUCKETS, np.uint32)
+        names = ["doc_id", "n", "node", "bits", "block", "counters"]
         for part in slices(batches):
             sets = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
             nodes = [node_of(s) for s in sets]
             for node, s in zip(nodes, sets):
                 if node is not None and node not in seen:
                     seen.add(node)
-                    kept.append(s)
-                    held += len(s)
+                    np.add.at(counts, s >> _SHIFT, 1)
             n = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,21 +143,45 @@ def _describe(size):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "bits", "shingle", "times"],
+                names=names,
             )
-            if held >= COUNTED_AT_ONCE:
-                yield repeated()
-                kept, held = [], 0
-        yield repeated()
+        blocks = [k for k in range(BUCKETS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
+        n = len(blocks)
+        packed = [packed_counters(counts[k * BLOCK : (k + 1) * BLOCK]) for k in blocks]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+            names=names,
+        )
 
     return run
 
 
-def _postings(size, percent, hot, rank):
-    """hot: broadcast sorted hashes of frequent shingles; rank: their place from rare to common."""
+def _summed(batches):
+    """Sums of the sketches' blocks; a task holds the counters of its blocks, however many sketches there are."""
+    sums = {}
+    for batch in batches:
+        for k, packed in zip(batch.column("block").to_pylist(), batch.column("counters").to_pylist()):
+            sums[k] = sums.get(k, 0) + unpacked_counters(packed)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([packed_counters(c) for c in sums.values()], pa.binary())],
+        names=["block", "counters"],
+    )
+
+
+def shingle_counters(described):
+    """(counters, least): the summed sketch, one byte a counter, and the byte from which a shingle is frequent."""
+    rows = described.where("block IS NOT NULL").select("block", "counters").repartition("block")
+    counters = np.zeros(BUCKETS, np.uint8)
+    for r in rows.mapInArrow(_summed, "block int, counters binary").collect():
+        counters[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.counters), np.uint8)
+    texts = max(HOT_LEAST, HOT_MEANS * (np.exp2(counters / 8) - 1).mean())
+    return counters, int(np.ceil(8 * np.log2(1 + texts)))
+
+
+def _postings(size, percent, counters, least):
 
     def run(batches):
         hashes, seen = WordHashes(), set()
@@ -167,16 +194,9 @@ def _postings(size, percent, hot, rank):
                     continue
                 seen.add(node)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                if len(hot.value):
-                    at = np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)
-                    common = hot.value[at] == s
-                    order = np.argsort(rank.value[at[common]], kind="stable")
-                    rare = s[~common]
-                    s = np.concatenate([rare, s[common][order]])
-                    cold = len(rare)
-                else:
-                    cold = len(s)
-                out.append((s[:length], node, len(s), np.arange(length) >= cold))
+                held = counters.value[s >> _SHIFT]
+                first = np.argsort(held, kind="stable")[:length]
+                out.append((s[first], node, len(s), held[first] >= least))
             if out:
                 each = [len(o[0]) for o in out]
                 yield pa.RecordBatch.from_arrays(
@@ -230,38 +250,21 @@ def _verify(percent):
     return run
 
 
-def _linked(pairs, nodes, texts, size, percent):
-    """The pairs (a, b) of nodes that link; each distinct pair is verified once."""
+def _linked(pairs, tested, nodes, sets, percent):
+    """(links, tested): the pairs (a, b) of nodes that link, and all pairs verified by now."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    pairs = pairs.distinct().join(left, "a").join(right, "b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.join(left, "a").join(right, "b")
     pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = materialize(pairs.mapInArrow(_suffix_filter(percent), "a long, b long"), "pairs")
-    if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
-    ids = checked_broadcast(wanted.select("doc_id"))
-    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, shingles binary")
-    sets = materialize(sets.join(checked_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b")
-    return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
-
-
-def frequent_shingles(described, hot_limit=HOT_LIMIT, least=HOT_LEAST):
-    """Hashes of frequent shingles, sorted, and their places from rare to common."""
-    total = described.agg(F.sum("n")).first()[0] or 0
-    counts = described.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
-    rows = counts.where(F.col("times") >= max(least, total // hot_limit)).toPandas()
-    hot = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    times = rows["times"].to_numpy(np.int64)
-    order = np.argsort(hot)
-    hot, times = hot[order], times[order]
-    rank = np.empty(len(hot), np.int32)
-    rank[np.lexsort((hot, times))] = np.arange(len(hot), dtype=np.int32)
-    return hot, rank
+    links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    return links, pairs if tested is None else tested.union(pairs)
 
 
 def _open_lists(lists, roots):
@@ -298,19 +301,26 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialize(texts.mapInArrow(_describe(size), _DESCRIBED), "described")
-    rows = described.where("shingle IS NULL")
-    hot, rank = (spark.sparkContext.broadcast(x) for x in frequent_shingles(described))
+    rows = described.where("block IS NULL")
+    counters, least = shingle_counters(described)
+    counters = spark.sparkContext.broadcast(counters)
 
     own = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     heads = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialize(own.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "bits"), "nodes")
 
-    posted = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(size, percent, hot, rank), _POSTED)
+    posted = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(size, percent, counters, least), _POSTED)
     posted = posted.withColumn("salt", F.expr(f"IF(hot, pmod(node, {SALTS}), 0)"))
     listed = Window.partitionBy("shingle", "salt")
     posted = posted.withColumns({"head": F.min("node").over(listed), "last": F.max("node").over(listed)})
     lists = materialize(posted.where("hot OR head <> last").drop("last", "salt"), "lists")
 
+    # whole sets of all nodes that share a posting, written once for all steps
+    listed = materialize(nodes.select("node", "doc_id").join(lists.select("node").distinct(), "node", "left_semi"), "listed")
+    sets = texts.join(checked_broadcast(listed.select("doc_id")), "doc_id", "left_semi").select("text")
+    sets = sets.mapInArrow(_sets(size), "node long, shingles binary")
+    sets = materialize(sets.join(checked_broadcast(listed.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
     # the head of its lists that a node meets most often, and the heads of one salted shingle
     met = lists.where("head <> node").groupBy("node", "head").agg(F.count("*").alias("times"))
     best = met.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("times", "head")).alias("b"))
@@ -319,17 +329,22 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     across = salted.join(top, "shingle").where("head <> b").select(F.col("head").alias("a"), "b")
     across = across.groupBy("a", "b").agg(F.count("*").alias("times"))
     across = across.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = _linked(best.union(across), nodes, texts, size, percent)
+    links, tested = _linked(best.union(across), None, nodes, sets, percent)
 
     # nodes of lists that are not in one component yet: other heads first, then all pairs
-    for k in range(ROUNDS):
+    turn = 0
+    while True:
         lists = _open_lists(lists, components(links))
-        found = _linked(_other_heads(lists, k), nodes, texts, size, percent)
-        if found.isEmpty():
-            break
+        heads = materialize(_other_heads(lists, turn), "heads")
+        found, tested = _linked(heads, tested, nodes, sets, percent)
         links = links.union(found)
-    else:
-        lists = _open_lists(lists, components(links))
+        gain = found.count()
+        if not gain:
+            break
+        if gain * ROUND_GAIN < heads.count():
+            lists = _open_lists(lists, components(links))
+            break
+        turn += 1
     x = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
     y = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
     enough = f"ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
@@ -345,7 +360,8 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     )
     behind = f"ceil({percent} * greatest(n_a, n_b) / 100.0) - 1"
     pairs = shared.where(f"times + least({behind}, n_a - 1 - pos_a, n_b - 1 - pos_b) >= {enough}").select("a", "b")
-    links = links.union(_linked(pairs, nodes, texts, size, percent))
+    found, _ = _linked(pairs, tested, nodes, sets, percent)
+    links = links.union(found)
 
     roots = components(links)
     placed = nodes.select("node", "doc_id").join(roots, "node", "left")

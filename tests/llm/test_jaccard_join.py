@@ -1,6 +1,7 @@
 import itertools
 import re
 
+import numpy as np
 import pytest
 
 from orderlens.llm import jaccard_join as J
@@ -82,6 +83,26 @@ def test_near_copies_and_a_common_line(spark, monkeypatch):
     assert found(docs) == brute(rows)
 
 
+def test_a_line_held_once_in_each_of_many_partitions(spark, monkeypatch):
+    """No partition sees a shingle twice, the sum of the sketches does."""
+    monkeypatch.setattr(J, "HOT_LEAST", 100)
+    line = " ".join(f"c{i}" for i in range(9))
+    rows = [(d, " ".join(f"u{d // 3}_{i}" for i in range(d % 40)) + " " + line) for d in range(211)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(211, "doc_id")
+    described = docs.mapInArrow(J._describe(5), J._DESCRIBED)
+    counters, least = J.shingle_counters(described)
+    common = J.shingle_set(line, J.WordHashes())
+    own = J.shingle_set(" ".join(f"u70_{i}" for i in range(30)), J.WordHashes())
+    assert (counters[common >> J._SHIFT] >= least).all() and (counters[own >> J._SHIFT] < least).all()
+    assert found(docs) == brute(rows)
+
+
+def test_counters_are_rounded_up_by_less_than_a_tenth():
+    counts = np.array([0, 1, 2, 3, 50, 1000, 123456, 4_000_000])
+    back = J.unpacked_counters(J.packed_counters(counts))
+    assert (back >= counts * (1 - 1e-12)).all() and (back + 1 <= 1.1 * (counts + 1)).all()
+
+
 def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert found(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
