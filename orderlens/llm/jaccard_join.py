@@ -14,13 +14,15 @@ shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two node
    is, so counters shared by several shingles only cost work. A counter never is below the number of texts, so
    every shingle of HOT_LEAST texts (and HOT_MEANS times the mean counter) is known to be frequent at any
    partitioning and is dealt over SALTS lists.
-3. Every node is first tested against the list head it shares most postings with, and then, in rounds
+3. Every node is first tested against the list head it shares most postings with (the head of a list has
+   the fewest rarer shingles: of a group of near copies, the one least edited), and then, in rounds
    for as long as a round links one node in ROUND_GAIN of those it tests, nodes of lists that still hold
    several components against a head of another one. That joins large groups of near copies without
    looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
    positional filter (once per shared posting, and once on all that a pair shares) and the suffix
-   filter (a bound on the shared shingles from two bitmaps) and are verified on whole sets. A pair
+   filter (a bound on the shared shingles from two bitmaps: SIGNED bits within the join, bitmaps that
+   follow the set size behind it) and are verified on whole sets. A pair
    that a step has tested is left out of all later ones. No partner or candidate is capped.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; its
@@ -49,9 +51,10 @@ HOT_LEAST = 1000  # a shingle of fewer texts is never called frequent
 HOT_MEANS = 4
 SALTS = 64
 ROUND_GAIN = 20
+SIGNED = 512  # bits of the signature that postings of open lists carry
 CACHED_WORDS = 1 << 17
 
-_DESCRIBED = "doc_id long, n long, node long, bits binary, block int, counters binary"
+_DESCRIBED = "doc_id long, n long, node long, bits binary, sign array<long>, block int, counters binary"
 _POSTED = "shingle long, node long, n int, pos int, hot boolean"
 _SHIFT = np.uint64(64 - (BUCKETS - 1).bit_length())
 _EMPTY = np.zeros(0, np.uint64)
@@ -98,6 +101,13 @@ def bitmap(shingles):
     return np.packbits(bits).tobytes()
 
 
+def signature(shingles):
+    """The set in SIGNED bits, by hash bins, as 64-bit numbers."""
+    bits = np.zeros(SIGNED, np.bool_)
+    bits[shingles & np.uint64(SIGNED - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _needed(x, y, percent):
     """Smallest number of shared shingles that links sets of x and y shingles."""
     return -(-percent * (x + y) // (100 + percent))
@@ -128,7 +138,8 @@ def unpacked_counters(packed):
 def _describe(size):
     def run(batches):
         hashes, seen, counts = WordHashes(), set(), np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "n", "node", "bits", "block", "counters"]
+        names = ["doc_id", "n", "node", "bits", "sign", "block", "counters"]
+        signs = pa.list_(pa.int64())
         for part in slices(batches):
             sets = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
             nodes = [node_of(s) for s in sets]
@@ -143,6 +154,7 @@ def _describe(size):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([signature(s) if len(s) else None for s in sets], signs),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -152,7 +164,7 @@ def _describe(size):
         n = len(blocks)
         packed = [packed_counters(counts[k * BLOCK : (k + 1) * BLOCK]) for k in blocks]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+            [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary()), pa.nulls(n, signs), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
             names=names,
         )
 
@@ -307,13 +319,15 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
 
     own = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     heads = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = materialize(own.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "bits"), "nodes")
+    nodes = materialize(own.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "bits", "sign"), "nodes")
 
     posted = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(size, percent, counters, least), _POSTED)
     posted = posted.withColumn("salt", F.expr(f"IF(hot, pmod(node, {SALTS}), 0)"))
     listed = Window.partitionBy("shingle", "salt")
-    posted = posted.withColumns({"head": F.min("node").over(listed), "last": F.max("node").over(listed)})
-    lists = materialize(posted.where("hot OR head <> last").drop("last", "salt"), "lists")
+    # the head of a list has the fewest rarer shingles: of a group of near copies, the one least edited
+    ends = {"first": F.min("node"), "last": F.max("node"), "head": F.min(F.struct("pos", "node"))}
+    posted = posted.withColumns({name: end.over(listed) for name, end in ends.items()})
+    lists = materialize(posted.where("hot OR first <> last").drop("first", "last", "salt"), "lists")
 
     # whole sets of all nodes that share a posting, written once for all steps
     listed = materialize(nodes.select("node", "doc_id").join(lists.select("node").distinct(), "node", "left_semi"), "listed")
@@ -322,11 +336,11 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     sets = materialize(sets.join(checked_broadcast(listed.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # the head of its lists that a node meets most often, and the heads of one salted shingle
-    met = lists.where("head <> node").groupBy("node", "head").agg(F.count("*").alias("times"))
+    met = lists.where("head.node <> node").groupBy("node", F.col("head.node").alias("head")).agg(F.count("*").alias("times"))
     best = met.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("times", "head")).alias("b"))
     salted = lists.where("hot").select("shingle", "head").distinct()
-    top = salted.groupBy("shingle").agg(F.min("head").alias("b"))
-    across = salted.join(top, "shingle").where("head <> b").select(F.col("head").alias("a"), "b")
+    top = salted.groupBy("shingle").agg(F.min("head").alias("top"))
+    across = salted.join(top, "shingle").select(F.col("head.node").alias("a"), F.col("top.node").alias("b")).where("a <> b")
     across = across.groupBy("a", "b").agg(F.count("*").alias("times"))
     across = across.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links, tested = _linked(best.union(across), None, nodes, sets, percent)
@@ -345,12 +359,21 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
             lists = _open_lists(lists, components(links))
             break
         turn += 1
-    x = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
-    y = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+    # plain columns and one sum keep the condition small enough to be compiled
+    parts = [f"sign{i}" for i in range(SIGNED // 64)]
+    signed = nodes.select("node", *[F.col("sign")[i].alias(c) for i, c in enumerate(parts)])
+    ones = F.expr(" + ".join(f"bit_count({c})" for c in parts))
+    lists = lists.join(signed.withColumn("over", ones), "node").withColumn("over", F.col("over") - F.col("n"))
+    lists = materialize(lists, "signed")
+    fields = ("node", "n", "pos", "root", "over", *parts)
+    x, y = (lists.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in fields]) for k in "ab")
+    # a bit that only one set has is at least one shingle that only it has
+    both = " + ".join(f"bit_count({c}_a & {c}_b)" for c in parts)
     enough = f"ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
     pairs = x.join(y, "shingle").where(
         f"node_a < node_b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {enough}"
+        f" AND {both} >= greatest(over_a, over_b) + {enough}"
     )
     # shared shingles that are no shared postings lie behind the prefix that ends first, and behind the last shared posting
     shared = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
