@@ -230,10 +230,9 @@ def _sets(size):
         hashes = WordHashes()
         for part in slices(batches):
             sets = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "shingles"],
-            )
+            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            joined = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), joined], names=["node", "shingles"])
 
     return run
 
@@ -248,18 +247,13 @@ def _suffix_filter(percent):
     return run
 
 
-def _verify(percent):
-    def run(batches):
-        for part in slices(batches, 256):
-            keep = []
-            for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                shared = int((p[at] == q).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(both, percent):
+    """The pairs (a, b) that link, of rows (a, b, set_a, set_b).
 
-    return run
+    Compared row by row in Spark: a batch of whole sets sent to Python may outgrow a task's memory.
+    """
+    both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where(f"100 * shared >= {percent} * (size(set_a) + size(set_b) - shared)").select("a", "b")
 
 
 def _linked(pairs, tested, nodes, sets, percent):
@@ -274,8 +268,7 @@ def _linked(pairs, tested, nodes, sets, percent):
     pairs = materialize(pairs.mapInArrow(_suffix_filter(percent), "a long, b long"), "pairs")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = materialize(_verified(pairs.join(a, "a").join(b, "b"), percent), "links")
     return links, pairs if tested is None else tested.union(pairs)
 
 
@@ -332,7 +325,7 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     # whole sets of all nodes that share a posting, written once for all steps
     listed = materialize(nodes.select("node", "doc_id").join(lists.select("node").distinct(), "node", "left_semi"), "listed")
     sets = texts.join(checked_broadcast(listed.select("doc_id")), "doc_id", "left_semi").select("text")
-    sets = sets.mapInArrow(_sets(size), "node long, shingles binary")
+    sets = sets.mapInArrow(_sets(size), "node long, shingles array<long>")
     sets = materialize(sets.join(checked_broadcast(listed.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # the head of its lists that a node meets most often, and the heads of one salted shingle

@@ -103,6 +103,17 @@ def test_counters_are_rounded_up_by_less_than_a_tenth():
     assert (back >= counts * (1 - 1e-12)).all() and (back + 1 <= 1.1 * (counts + 1)).all()
 
 
+def test_whole_sets_are_compared_without_python(spark):
+    """Batches of whole sets in Arrow took an executor's memory beyond its limit."""
+    sets = [list(range(100)), list(range(14, 100)), list(range(25, 100)), list(range(26, 100)), [-5], [7]]
+    rows = [(i, j, sets[i], sets[j]) for i, j in itertools.combinations(range(len(sets)), 2)]
+    both = spark.createDataFrame(rows, "a long, b long, set_a array<long>, set_b array<long>")
+    links = J._verified(both, 75)
+    want = [(a, b) for a, b, p, q in rows if 100 * len({*p} & {*q}) >= 75 * len({*p} | {*q})]
+    assert sorted(map(tuple, links.collect())) == want and (0, 2) in want and (0, 3) not in want
+    assert "Arrow" not in links._jdf.queryExecution().toString()
+
+
 def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert found(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
