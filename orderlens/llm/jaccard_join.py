@@ -20,10 +20,11 @@ shingle. Texts of equal sets are one node (a 64-bit digest of the set). Two node
    several components against a head of another one. That joins large groups of near copies without
    looking at all their pairs.
 4. All pairs that share a posted shingle and are not joined yet pass the length filter, the
-   positional filter (once per shared posting, and once on all that a pair shares) and the suffix
-   filter (a bound on the shared shingles from two bitmaps: SIGNED bits within the join, bitmaps that
-   follow the set size behind it) and are verified on whole sets. A pair
-   that a step has tested is left out of all later ones. No partner or candidate is capped.
+   positional filter (at the first posting a pair shares, the only one it is made at unless shared
+   ones lie more than EARLIER apart) and the suffix filter (a bound on the shared shingles from two
+   bitmaps: SIGNED bits within the join, bitmaps that follow the set size behind it) and are verified
+   on whole sets. A pair that a step has tested is left out of all later ones. No partner or candidate
+   is capped.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; its
 component is its own doc_id. Rows that repeat a doc_id each get a row; equal texts share a
@@ -52,6 +53,7 @@ HOT_MEANS = 4
 SALTS = 64
 ROUND_GAIN = 20
 SIGNED = 512  # bits of the signature that postings of open lists carry
+EARLIER = 16  # open postings before each of a node that tell whether a pair has met already
 CACHED_WORDS = 1 << 17
 
 _DESCRIBED = "doc_id long, n long, node long, bits binary, sign array<long>, block int, counters binary"
@@ -301,6 +303,40 @@ def _other_heads(lists, turn):
     return times.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
 
 
+_SIGNS = [f"sign{i}" for i in range(SIGNED // 64)]
+
+
+def _with_earlier(lists, nodes):
+    """Open postings with the last EARLIER ones before each of its node, and the node's signature in plain columns."""
+    before = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
+    lists = lists.withColumn("earlier", F.collect_list("shingle").over(before))
+    signed = nodes.select("node", *[F.col("sign")[i].alias(c) for i, c in enumerate(_SIGNS)])
+    # plain columns and one sum keep the condition small enough to be compiled
+    ones = F.expr(" + ".join(f"bit_count({c})" for c in _SIGNS))
+    return lists.join(signed.withColumn("over", ones), "node").withColumn("over", F.col("over") - F.col("n"))
+
+
+def _first_shared(lists, percent):
+    """Pairs of postings of nodes in different components that may link, where the pair first shares one.
+
+    All nodes order shingles alike. At the first shared posting no shared shingle lies before either
+    position, which bounds what is shared; a row with a shared posting among the EARLIER ones is not the
+    first. Rows that are first of all postings pass both tests if their nodes link, so no link is lost;
+    a pair comes again only if more than EARLIER open postings of a node lie between two shared ones.
+    """
+    fields = ("node", "n", "pos", "root", "over", "earlier", *_SIGNS)
+    x, y = (lists.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in fields]) for k in "ab")
+    # a bit that only one set has is at least one shingle that only it has
+    both = " + ".join(f"bit_count({c}_a & {c}_b)" for c in _SIGNS)
+    enough = f"ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
+    return x.join(y, "shingle").where(
+        f"node_a < node_b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        f" AND least(n_a - pos_a, n_b - pos_b) >= {enough}"
+        f" AND {both} >= greatest(over_a, over_b) + {enough}"
+        " AND NOT arrays_overlap(earlier_a, earlier_b)"
+    )
+
+
 def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -352,30 +388,8 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
             lists = _open_lists(lists, components(links))
             break
         turn += 1
-    # plain columns and one sum keep the condition small enough to be compiled
-    parts = [f"sign{i}" for i in range(SIGNED // 64)]
-    signed = nodes.select("node", *[F.col("sign")[i].alias(c) for i, c in enumerate(parts)])
-    ones = F.expr(" + ".join(f"bit_count({c})" for c in parts))
-    lists = lists.join(signed.withColumn("over", ones), "node").withColumn("over", F.col("over") - F.col("n"))
-    lists = materialize(lists, "signed")
-    fields = ("node", "n", "pos", "root", "over", *parts)
-    x, y = (lists.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in fields]) for k in "ab")
-    # a bit that only one set has is at least one shingle that only it has
-    both = " + ".join(f"bit_count({c}_a & {c}_b)" for c in parts)
-    enough = f"ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
-    pairs = x.join(y, "shingle").where(
-        f"node_a < node_b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        f" AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {enough}"
-        f" AND {both} >= greatest(over_a, over_b) + {enough}"
-    )
-    # shared shingles that are no shared postings lie behind the prefix that ends first, and behind the last shared posting
-    shared = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        F.count("*").alias("times"),
-        *[F.first(f"n_{k}").alias(f"n_{k}") for k in "ab"],
-        *[F.max(f"pos_{k}").alias(f"pos_{k}") for k in "ab"],
-    )
-    behind = f"ceil({percent} * greatest(n_a, n_b) / 100.0) - 1"
-    pairs = shared.where(f"times + least({behind}, n_a - 1 - pos_a, n_b - 1 - pos_b) >= {enough}").select("a", "b")
+    lists = materialize(_with_earlier(lists, nodes), "signed")
+    pairs = _first_shared(lists, percent).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     found, _ = _linked(pairs, tested, nodes, sets, percent)
     links = links.union(found)
 

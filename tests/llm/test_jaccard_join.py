@@ -103,6 +103,33 @@ def test_counters_are_rounded_up_by_less_than_a_tenth():
     assert (back >= counts * (1 - 1e-12)).all() and (back + 1 <= 1.1 * (counts + 1)).all()
 
 
+@pytest.mark.parametrize("earlier", [1, 3, 16])
+def test_a_pair_is_made_once_however_many_postings_it_shares(spark, monkeypatch, earlier):
+    """A row of the join for each shared posting of each pair grew with the square of a group's size."""
+    import random
+
+    monkeypatch.setattr(J, "EARLIER", earlier)
+    rng = random.Random(7)
+    sets = {}
+    for node in range(60):
+        kept = list(range(100))
+        for _ in range(rng.randint(0, 25)):
+            kept[rng.randrange(100)] = 1000 + rng.randrange(100_000)
+        sets[node] = np.unique(np.array(kept, np.uint64) * J._MIX)
+    rows = [(int(np.int64(h)), n, len(s), i, n) for n, s in sets.items() for i, h in enumerate(s.view(np.int64)[: len(s) // 4 + 1])]
+    lists = spark.createDataFrame(rows, "shingle long, node long, n int, pos int, root long")
+    nodes = spark.createDataFrame([(n, J.signature(s).tolist()) for n, s in sets.items()], "node long, sign array<long>")
+    made = [(r.node_a, r.node_b) for r in J._first_shared(J._with_earlier(lists, nodes), 75).collect()]
+    linking = {
+        (a, b)
+        for a, b in itertools.combinations(sets, 2)
+        if 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])) and len(x)
+    }
+    assert linking and linking <= set(made)
+    if earlier == 16:
+        assert len(made) <= 1.2 * len(set(made))
+
+
 def test_whole_sets_are_compared_without_python(spark):
     """Batches of whole sets in Arrow took an executor's memory beyond its limit."""
     sets = [list(range(100)), list(range(14, 100)), list(range(25, 100)), list(range(26, 100)), [-5], [7]]
