@@ -31,6 +31,8 @@ MARK = "▁"
 CACHED_CHUNKS = 250_000  # of the newer and of the older half of the cache each
 LISTED = 48  # a longer chunk keeps its agenda as a heap
 NEVER = float("inf")
+NONE = np.iinfo(np.int32).max  # rank of a pair that spells no piece
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -52,11 +54,109 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b""
             for i, p in enumerate(names)
         ]
+        self.digits = [str(i).encode() for i in range(len(names))]
+        self._pairs()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a word mark behind another character")
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary lacks byte pieces")
 
+    def _pairs(self):
+        """Symbols (characters of pieces, and pieces) as numbers, and the pairs of symbols that spell a piece."""
+        symbols = sorted(set(self.ids).union(*self.ids))
+        number = {s: k for k, s in enumerate(symbols)}
+        self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbols], np.int32)
+        # characters by code point; what no piece holds is -1
+        self.characters = np.full(max(ord(s) for s in symbols if len(s) == 1) + 2, -1, np.int64)
+        for s in symbols:
+            if len(s) == 1:
+                self.characters[ord(s)] = number[s]
+        order = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
+        pairs = [
+            (number[p[:i]] * len(symbols) + number[p[i:]], order[self.costs[p]], number[p])
+            for p in self.ids
+            for i in range(1, len(p))
+            if p[:i] in number and p[i:] in number
+        ]
+        self.symbols = len(symbols)
+        # an open-addressing table of pairs: a key's slot, or the next free one
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        slots, keys = 1 << self.bits, np.array([k for k, _, _ in pairs], np.int64)
+        self.keys, self.ranks, self.unions = np.full(slots, -1, np.int64), np.full(slots, NONE, np.int32), np.zeros(slots, np.int64)
+        for (key, rank, union), at in zip(pairs, self._slot(keys).tolist()):
+            while self.keys[at] != -1:
+                at = (at + 1) % slots
+            self.keys[at], self.ranks[at], self.unions[at] = key, rank, union
+
+    def _slot(self, keys):
+        return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _ranked(self, left, right):
+        """(rank of the cost, union) of each pair of symbols; NONE for pairs that spell no piece."""
+        keys = left * self.symbols + right
+        at = self._slot(keys)
+        held = self.keys[at]
+        other = np.flatnonzero((held != keys) & (held != -1))
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[other]]
+            other = other[(held != keys[other]) & (held != -1)]
+        return self.ranks[at], self.unions[at]
+
+    def encode_chunks(self, chunks):
+        """Piece ids of each chunk. Short ones whose characters all are known are merged together: each
+        round takes the best pair, the leftmost of equal ones, from the agenda of every chunk."""
+        coded = [None] * len(chunks)
+        text = "".join(short := [c for c in chunks if len(c) <= LISTED])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        symbols = self.characters[np.minimum(points, len(self.characters) - 1)]
+        sizes = np.array([len(c) for c in short], np.int64)
+        owners = np.repeat(np.array([k for k, c in enumerate(chunks) if len(c) <= LISTED], np.int64), sizes)
+        strange = np.zeros(len(chunks), np.bool_)
+        strange[owners[symbols < 0]] = True
+        keep = ~strange[owners]
+        symbols, owners = symbols[keep], owners[keep]
+        # the agenda: of each symbol and the one behind it, if both are of one chunk
+        ranks, unions = np.full(len(symbols), NONE, np.int32), np.zeros(len(symbols), np.int64)
+        inner = np.flatnonzero(owners[1:] == owners[:-1])
+        ranks[inner], unions[inner] = self._ranked(symbols[inner], symbols[inner + 1])
+        ended = []
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+            best = np.minimum.reduceat(ranks, starts)
+            each = np.diff(np.r_[starts, len(symbols)])
+            best = np.repeat(best, each)
+            if (best == NONE).any():
+                over = best == NONE
+                ended.append((owners[over], symbols[over]))
+                more = ~over
+                symbols, owners, ranks, unions, best = symbols[more], owners[more], ranks[more], unions[more], best[more]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(ranks == best)
+            at = at[np.r_[True, owners[at[1:]] != owners[at[:-1]]]]
+            symbols[at] = unions[at]
+            gone = np.ones(len(symbols), np.bool_)
+            gone[at + 1] = False
+            at -= np.arange(len(at))  # one symbol of each chunk before is gone
+            symbols, owners, ranks, unions = symbols[gone], owners[gone], ranks[gone], unions[gone]
+            ranks[at] = NONE
+            for first in (at, at - 1):
+                first = first[(first >= 0) & (first + 1 < len(symbols))]
+                first = first[owners[first] == owners[first + 1]]
+                ranks[first], unions[first] = self._ranked(symbols[first], symbols[first + 1])
+        for owned, kept in ended:
+            ids = self.symbol_ids[kept]
+            strange[owned[ids < 0]] = True
+            starts = np.flatnonzero(np.r_[True, owned[1:] != owned[:-1]])
+            listed, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
+            for k, a, b in zip(owned[starts].tolist(), starts.tolist(), ends):
+                coded[k] = listed[a:b]
+        for k, chunk in enumerate(chunks):
+            if coded[k] is None or strange[k]:
+                coded[k] = self.encode_chunk(chunk)
+        return coded
+
     def encode_chunk(self, chunk):
         """Piece ids of one chunk, merged by the agenda."""
         symbols = self._merged(list(chunk)) if len(chunk) <= LISTED else self._merged_by_heap(list(chunk))
@@ -160,12 +260,11 @@ class ChunkCache(dict):
         new = list(new - again)
         # the library puts one mark in front of a text, which is the chunk's first
         wanted = self.pieces.library.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)
-        for chunk, library in zip(new, wanted):
-            ids = self.pieces.encode_chunk(chunk)
+        surfaces, digits = self.pieces.surfaces.__getitem__, self.pieces.digits.__getitem__
+        for chunk, ids, library in zip(new, self.pieces.encode_chunks(new), wanted):
             if ids != library and chunk != MARK:  # the library gives no ids for an empty text
                 raise ValueError(f"{chunk!r}: {ids} here, {library} in the library")
-            surface = b"".join(map(self.pieces.surfaces.__getitem__, ids))
-            self[chunk] = (array("i", ids).tobytes(), " ".join(map(str, ids)).encode(), surface)
+            self[chunk] = (array("i", ids).tobytes(), b" ".join(map(digits, ids)), b"".join(map(surfaces, ids)))
 
 
 @lru_cache(maxsize=1)
