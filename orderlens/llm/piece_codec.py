@@ -65,20 +65,20 @@ class Pieces:
         """Symbols (characters of pieces, and pieces) as numbers, and the pairs of symbols that spell a piece."""
         symbols = sorted(set(self.ids).union(*self.ids))
         number = {s: k for k, s in enumerate(symbols)}
-        self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbols], np.int32)
-        # characters by code point; what no piece holds is -1
-        self.characters = np.full(max(ord(s) for s in symbols if len(s) == 1) + 2, -1, np.int64)
+        other = len(symbols)  # the number of all characters that no piece holds
+        self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbols] + [-1], np.int32)
+        self.characters = np.full(max(ord(s) for s in symbols if len(s) == 1) + 2, other, np.int64)  # by code point
         for s in symbols:
             if len(s) == 1:
                 self.characters[ord(s)] = number[s]
         order = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
         pairs = [
-            (number[p[:i]] * len(symbols) + number[p[i:]], order[self.costs[p]], number[p])
+            (number[p[:i]] * (other + 1) + number[p[i:]], order[self.costs[p]], number[p])
             for p in self.ids
             for i in range(1, len(p))
             if p[:i] in number and p[i:] in number
         ]
-        self.symbols = len(symbols)
+        self.symbols = other + 1
         # an open-addressing table of pairs: a key's slot, or the next free one
         self.bits = max(4, (4 * len(pairs)).bit_length())
         slots, keys = 1 << self.bits, np.array([k for k, _, _ in pairs], np.int64)
@@ -104,59 +104,58 @@ class Pieces:
         return self.ranks[at], self.unions[at]
 
     def encode_chunks(self, chunks):
-        """Piece ids of each chunk. Short ones whose characters all are known are merged together: each
-        round takes the best pair, the leftmost of equal ones, from the agenda of every chunk."""
-        coded = [None] * len(chunks)
-        text = "".join(short := [c for c in chunks if len(c) <= LISTED])
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        """Piece ids of each chunk. Short ones are merged together: each round takes the best pair, the
+        leftmost of equal ones, from the agenda of every chunk."""
+        coded = [None if len(c) <= LISTED else self.encode_chunk(c) for c in chunks]
+        short = [k for k, ids in enumerate(coded) if ids is None]
+        text = "".join([chunks[k] for k in short])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        owners = np.repeat(np.array(short, np.int64), np.array([len(chunks[k]) for k in short], np.int64))
         symbols = self.characters[np.minimum(points, len(self.characters) - 1)]
-        sizes = np.array([len(c) for c in short], np.int64)
-        owners = np.repeat(np.array([k for k, c in enumerate(chunks) if len(c) <= LISTED], np.int64), sizes)
-        strange = np.zeros(len(chunks), np.bool_)
-        strange[owners[symbols < 0]] = True
-        keep = ~strange[owners]
-        symbols, owners = symbols[keep], owners[keep]
         # the agenda: of each symbol and the one behind it, if both are of one chunk
         ranks, unions = np.full(len(symbols), NONE, np.int32), np.zeros(len(symbols), np.int64)
         inner = np.flatnonzero(owners[1:] == owners[:-1])
         ranks[inner], unions[inner] = self._ranked(symbols[inner], symbols[inner + 1])
-        ended = []
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
-            best = np.minimum.reduceat(ranks, starts)
-            each = np.diff(np.r_[starts, len(symbols)])
-            best = np.repeat(best, each)
-            if (best == NONE).any():
-                over = best == NONE
-                ended.append((owners[over], symbols[over]))
+            best = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.r_[starts, len(symbols)]))
+            over = best == NONE
+            if over.any():
+                self._spell(coded, owners[over], symbols[over], points[over])
                 more = ~over
-                symbols, owners, ranks, unions, best = symbols[more], owners[more], ranks[more], unions[more], best[more]
-                if not len(symbols):
-                    break
+                symbols, points, owners = symbols[more], points[more], owners[more]
+                ranks, unions, best = ranks[more], unions[more], best[more]
             at = np.flatnonzero(ranks == best)
-            at = at[np.r_[True, owners[at[1:]] != owners[at[:-1]]]]
+            at = at[np.r_[True, owners[at[1:]] != owners[at[:-1]]][: len(at)]]
             symbols[at] = unions[at]
-            gone = np.ones(len(symbols), np.bool_)
-            gone[at + 1] = False
-            at -= np.arange(len(at))  # one symbol of each chunk before is gone
-            symbols, owners, ranks, unions = symbols[gone], owners[gone], ranks[gone], unions[gone]
+            kept = np.ones(len(symbols), np.bool_)
+            kept[at + 1] = False
+            symbols, points, owners, ranks, unions = symbols[kept], points[kept], owners[kept], ranks[kept], unions[kept]
+            at -= np.arange(len(at))  # each chunk before has one symbol less
             ranks[at] = NONE
             for first in (at, at - 1):
                 first = first[(first >= 0) & (first + 1 < len(symbols))]
                 first = first[owners[first] == owners[first + 1]]
                 ranks[first], unions[first] = self._ranked(symbols[first], symbols[first + 1])
-        for owned, kept in ended:
-            ids = self.symbol_ids[kept]
-            strange[owned[ids < 0]] = True
-            starts = np.flatnonzero(np.r_[True, owned[1:] != owned[:-1]])
-            listed, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
-            for k, a, b in zip(owned[starts].tolist(), starts.tolist(), ends):
-                coded[k] = listed[a:b]
-        for k, chunk in enumerate(chunks):
-            if coded[k] is None or strange[k]:
-                coded[k] = self.encode_chunk(chunk)
         return coded
 
+    def _spell(self, coded, owners, symbols, points):
+        """Put the ids of the chunks' symbols into ``coded``; a symbol that is no piece is one character."""
+        ids = self.symbol_ids[symbols]
+        lost = np.flatnonzero(ids < 0)
+        listed, starts = ids.tolist(), np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        chunks = owners[starts].tolist()
+        for k, a, b in zip(chunks, starts.tolist(), [*starts[1:].tolist(), len(listed)]):
+            coded[k] = listed[a:b]
+        if len(lost):
+            letters = dict(zip(lost.tolist(), map(chr, points[lost].tolist())))
+            for j in np.unique(np.searchsorted(starts, lost, "right") - 1).tolist():
+                a = int(starts[j])
+                coded[chunks[j]] = [
+                    i for at, known in enumerate(coded[chunks[j]], a)
+                    for i in ([known] if known >= 0 else [self.bytes[b] for b in letters[at].encode()])
+                ]
+
     def encode_chunk(self, chunk):
         """Piece ids of one chunk, merged by the agenda."""
         symbols = self._merged(list(chunk)) if len(chunk) <= LISTED else self._merged_by_heap(list(chunk))
