@@ -53,7 +53,7 @@ HOT_MEANS = 4
 SALTS = 64
 ROUND_GAIN = 20
 SIGNED = 512  # bits of the signature that postings of open lists carry
-EARLIER = 16  # open postings before each of a node that tell whether a pair has met already
+EARLIER = 8  # open postings before each of a node that tell whether a pair has met already
 CACHED_WORDS = 1 << 17
 
 _DESCRIBED = "doc_id long, n long, node long, bits binary, sign array<long>, block int, counters binary"
@@ -259,15 +259,21 @@ def _verified(both, percent):
 
 
 def _linked(pairs, tested, nodes, sets, percent):
-    """(links, tested): the pairs (a, b) of nodes that link, and all pairs verified by now."""
+    """(links, tested): the pairs (a, b) of nodes that link, and all pairs verified by now.
+
+    Pairs that are not ``wide``, if they have that column, need no suffix filter.
+    """
+    if "wide" not in pairs.columns:
+        pairs = pairs.withColumn("wide", F.lit(True))
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "wide").distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = pairs.join(left, "a").join(right, "b")
-    pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = materialize(pairs.mapInArrow(_suffix_filter(percent), "a long, b long"), "pairs")
+    wide = pairs.where("wide").join(left, "a").join(right, "b")
+    wide = wide.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    wide = wide.mapInArrow(_suffix_filter(percent), "a long, b long")
+    pairs = materialize(wide.union(pairs.where("NOT wide").select("a", "b")), "pairs")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     links = materialize(_verified(pairs.join(a, "a").join(b, "b"), percent), "links")
@@ -388,8 +394,10 @@ def jaccard_classes(docs, size=WORDS, percent=PERCENT):
             lists = _open_lists(lists, components(links))
             break
         turn += 1
-    lists = materialize(_with_earlier(lists, nodes), "signed")
-    pairs = _first_shared(lists, percent).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = _first_shared(_with_earlier(lists, nodes), percent)
+    # the bitmap of a set of at most SIGNED / 2 shingles is no wider than the signature, which has been compared
+    wide = F.expr(f"greatest(n_a, n_b) > {SIGNED // 2}")
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), wide.alias("wide"))
     found, _ = _linked(pairs, tested, nodes, sets, percent)
     links = links.union(found)
 
