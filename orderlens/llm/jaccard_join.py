@@ -42,7 +42,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import components
-from orderlens.llm.support import checked_broadcast, materialize, slices
+from orderlens.llm.support import checked_broadcast, materialize, slices, small_batches
 
 WORDS = 5
 PERCENT = 75
@@ -345,6 +345,11 @@ def _first_shared(lists, percent):
 
 def jaccard_classes(docs, size=WORDS, percent=PERCENT):
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    with small_batches(docs.sparkSession):  # all Python steps are written inside
+        return _classes(docs, size, percent)
+
+
+def _classes(docs, size, percent):
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialize(texts.mapInArrow(_describe(size), _DESCRIBED), "described")

@@ -130,6 +130,30 @@ def test_a_pair_is_made_once_however_many_postings_it_shares(spark, monkeypatch,
         assert len(made) <= 1.2 * len(set(made))
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Batches of 10,000 texts were held by a task on both sides."""
+    docs = spark.range(5000).coalesce(1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    key, describe, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", J._describe, spark.sparkContext.accumulator(0)
+    before = spark.conf.get(key)
+
+    def counted(size):
+        run = describe(size)
+
+        def most(batches):
+            def checked():
+                for batch in batches:
+                    seen.add(batch.num_rows > 1000)
+                    yield batch
+
+            yield from run(checked())
+
+        return most
+
+    monkeypatch.setattr(J, "_describe", counted)
+    assert J.jaccard_classes(docs).count() == 5000
+    assert seen.value == 0 and spark.conf.get(key) == before
+
+
 def test_whole_sets_are_compared_without_python(spark):
     """Batches of whole sets in Arrow took an executor's memory beyond its limit."""
     sets = [list(range(100)), list(range(14, 100)), list(range(25, 100)), list(range(26, 100)), [-5], [7]]
